@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from wordloom.operators.pairs import pairwise_count
+from wordloom.operators.tfidf import exact_sum
 from wordloom.operators.tokens import attach_lexicon
 from wordloom.operators.verbs import aslist, attach_totals, count_by, top_n
 
@@ -38,9 +39,10 @@ def comparison_scores(
     excess over its mean proportion across the listed categories (absent ones
     count 0).  The ``max_words`` largest weights are returned, ties kept.
     """
-    shares = attach_totals(
-        df.groupBy(term, category).agg(F.sum(n).alias("__n")), [category], __t=F.sum("__n")
-    ).withColumn("__p", F.col("__n") / F.col("__t"))
+    summed = df.groupBy(term, category).agg(F.sum(n).alias("__n"))
+    shares = attach_totals(summed, [category], __t=exact_sum("__n").cast("double")).withColumn(
+        "__p", F.col("__n") / F.col("__t")
+    )
     cols = [f"__p{i}" for i in range(len(categories))]
     wide = shares.groupBy(term).agg(
         *[

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.operators.verbs import attach_totals
 
@@ -24,6 +24,7 @@ def bind_tf_idf(df: DataFrame, term: str, document: str, n: str) -> DataFrame:
     )
 
 
-def exact_sum(col) -> "F.Column":
+def exact_sum(col: Column | str) -> Column:
     """Sum of doubles that does not depend on the order of the rows."""
-    return F.sum(F.col(col).cast("decimal(38,15)") if isinstance(col, str) else col.cast("decimal(38,15)"))
+    col = F.col(col) if isinstance(col, str) else col
+    return F.sum(col.cast("decimal(38,15)"))
