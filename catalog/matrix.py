@@ -464,14 +464,12 @@ def q_cluster_top_tfidf(spark, d):
     with_tokens(LABEL_SQL + f""", c AS (SELECT cluster, word AS term, count(*) AS n FROM token JOIN doc_label ON chapter = document GROUP BY ALL),
 p AS (SELECT term, cluster, n / sum(n) OVER (PARTITION BY cluster) AS p FROM c),
 g AS (SELECT term, max(p) AS best, max_by(cluster, p) AS cluster, sum(p) / {CLUSTERS} AS mean FROM p GROUP BY term),
-s AS (SELECT term, cluster, round(best - mean, 9) AS weight FROM g)
-SELECT term, cluster, weight FROM s QUALIFY rank() OVER (ORDER BY best - mean DESC) <= 0 OR weight > 0.0005""").replace(
-        "QUALIFY rank() OVER (ORDER BY best - mean DESC) <= 0 OR weight > 0.0005", "WHERE weight > 0.0005"),
+s AS (SELECT term, cluster, round(best - mean, 12) AS weight FROM g)
+SELECT term, cluster, weight FROM s QUALIFY rank() OVER (ORDER BY weight DESC) <= 600"""),
 )
 def q_cluster_contrast(spark, d):
     from wordloom.operators.cluster import cluster_centers
 
     labels = document_labels(spark, d)
     centers = cluster_centers(_dtm(spark, d), labels, "document", "term", "n")
-    scores = cplans.cluster_contrast(centers, range(1, CLUSTERS + 1), n=1_000_000_000)
-    return rounded(scores, "weight", digits=9).where(F.col("weight") > 0.0005)
+    return cplans.cluster_contrast(centers, range(1, CLUSTERS + 1))

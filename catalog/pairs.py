@@ -25,7 +25,7 @@ from wordloom.operators.pairs import pairwise_cor, pairwise_count
 from wordloom.operators.sentiment import pair_sentiment
 from wordloom.plans import entities as plans
 
-NAMED_BIGRAMS = ["thatin ononst", "inoran orre", "hehely orantion"]
+NAMED_BIGRAMS = ["anea eriner", "eriner thanea", "eswher thintion"]
 
 FREQUENT_SQL = """, frequent AS (SELECT volume, book, chapter, word FROM token
   WHERE word IN (SELECT word FROM token GROUP BY word HAVING count(*) >= 50))"""

@@ -71,7 +71,7 @@ def pairwise_distance(
     matrix: DataFrame, row: str, col: str, value: str, block: int = BLOCK, rows: DataFrame | None = None
 ) -> DataFrame:
     """Euclidean distances of all rows → ``a, b, dist`` with ``a < b``."""
-    vectors = row_vectors(matrix, row, col, value, rows)
+    vectors = row_vectors(checkpoint(matrix.select(row, col, value)), row, col, value, rows)
     kind = dict(vectors.dtypes)["item"]
     measure = cell_distances()
 
@@ -96,7 +96,7 @@ def pairwise_distance(
 
 
 def _principal(matrix: DataFrame, row: str, col: str, value: str, k: int, scale: bool, rows: DataFrame | None):
-    vectors, vocab = to_vectors(matrix, row, col, value, rows=rows)
+    vectors, vocab = to_vectors(checkpoint(matrix.select(row, col, value)), row, col, value, rows=rows)
     columns = vocab.count()
     if columns > MAX_PCA_COLUMNS:
         raise ValueError(f"{columns} columns: prune first, the driver holds columns × columns numbers")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,10 +32,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage once and continue from the files.
+    """Write ``df`` once as a table in the checkpoint folder and read it back.
 
     Used where a value must stay the same between two passes (a sampled range
     layout, a fitted model's output) or where a loop would grow its lineage.
+    The files survive lost executors.  A table also carries its true size,
+    whereas the estimates of a checkpointed plan multiply from join to join
+    until planning itself becomes the slow part of a loop.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
