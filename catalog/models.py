@@ -10,6 +10,7 @@ from catalog.base import rounded, sections, table, tokens
 from catalog.matrix import embedding_cells, embedding_labels, profiles
 from wordloom.operators import cluster, dtm as dt, indices, matrix as mx, topics
 from wordloom.plans import clusters as cplans, topics as tplans
+from wordloom.session import checkpoint
 
 
 def _dtm(spark, d):
@@ -17,11 +18,14 @@ def _dtm(spark, d):
 
 
 def _pruned(spark, d):
-    return dt.prune_sparse(_dtm(spark, d), 0.825)
+    """The pruned matrix, and the documents (some lose all their terms)."""
+    matrix = checkpoint(_dtm(spark, d))
+    return dt.prune_sparse(matrix, 0.825), matrix.select("document").distinct()
 
 
-def _documents(spark, d):
-    return _dtm(spark, d).select("document").distinct()
+def _kmeans(spark, d):
+    pruned, documents = _pruned(spark, d)
+    return cluster.kmeans(pruned, k=7, rows=documents)
 
 
 def _fit(spark, d):
@@ -40,7 +44,7 @@ def lda_beta(spark, d):
 
 @query("lda_tune")
 def lda_tune(spark, d):
-    return topics.tune_topics(_pruned(spark, d), ks=(5, 6, 7, 8, 9, 10), max_iter=10)
+    return topics.tune_topics(_pruned(spark, d)[0], ks=(5, 6, 7, 8, 9, 10), max_iter=10)
 
 
 @query("q_doc_top_topic_fitted")
@@ -55,22 +59,22 @@ def q_topic_summary_fitted(spark, d):
 
 @query("kmeans_assign")
 def kmeans_assign(spark, d):
-    return cluster.kmeans(_pruned(spark, d), k=7, rows=_documents(spark, d))[0]
+    return _kmeans(spark, d)[0]
 
 
 @query("kmeans_centers")
 def kmeans_centers(spark, d):
-    return cluster.kmeans(_pruned(spark, d), k=7, rows=_documents(spark, d))[1]
+    return _kmeans(spark, d)[1]
 
 
 @query("q_cluster_sizes_fitted")
 def q_cluster_sizes_fitted(spark, d):
-    return cplans.cluster_sizes(cluster.kmeans(_pruned(spark, d), k=7, rows=_documents(spark, d))[0])
+    return cplans.cluster_sizes(_kmeans(spark, d)[0])
 
 
 @query("q_cluster_top_tfidf_fitted")
 def q_cluster_top_tfidf_fitted(spark, d):
-    labels, _ = cluster.kmeans(_pruned(spark, d), k=7, rows=_documents(spark, d))
+    labels, _ = _kmeans(spark, d)
     return cplans.cluster_top_tfidf(tokens(spark, d), labels)
 
 
@@ -107,7 +111,8 @@ def pca_scores(spark, d):
 
 @query("mds_coords")
 def mds_coords(spark, d):
-    return mx.mds(_pruned(spark, d), "document", "term", "n", k=2, rows=_documents(spark, d))
+    pruned, documents = _pruned(spark, d)
+    return mx.mds(pruned, "document", "term", "n", k=2, rows=documents)
 
 
 @query("cluster_discriminant")
@@ -129,9 +134,9 @@ def index_split(spark, d):
 
 @query("kmeans_select_k")
 def kmeans_select_k(spark, d):
+    pruned, documents = _pruned(spark, d)
     return indices.select_k(
-        _pruned(spark, d), (3, 4, 5, 6, 7, 8), "kmeans", "all", row="document", col="term", value="n",
-        rows=_documents(spark, d),
+        pruned, (3, 4, 5, 6, 7, 8), "kmeans", "all", row="document", col="term", value="n", rows=documents
     )
 
 

@@ -22,11 +22,16 @@ def tidy_dtm(matrix: DataFrame) -> DataFrame:
 
 
 def prune_sparse(matrix: DataFrame, sparse: float) -> DataFrame:
-    """Keep terms found in more than ``documents · (1 - sparse)`` documents."""
-    documents = matrix.agg(F.count_distinct("document")).scalar()
-    held = matrix.where(F.col("n") > 0).groupBy("term").agg(F.count_distinct("document").alias("df"))
+    """Keep terms found in more than ``documents · (1 - sparse)`` documents.
+
+    ``matrix`` holds one row per document and term.
+    """
+    # the same filter on every branch lets them share one shuffle of the counts
+    cells = matrix.where(F.col("n") > 0)
+    documents = cells.agg(F.count_distinct("document")).scalar()
+    held = cells.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     kept = held.where(F.col("df") > documents * F.lit(1.0 - sparse)).select("term")
-    return matrix.join(kept, "term", "left_semi").select("document", "term", "n")
+    return cells.join(kept, "term", "left_semi").select("document", "term", "n")
 
 
 def vocabulary(matrix: DataFrame, col: str = "term") -> DataFrame:

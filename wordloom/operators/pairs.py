@@ -15,13 +15,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from wordloom.operators.verbs import aslist
+from wordloom.session import checkpoint
 
 BLOCK = 1024
 CHUNK = 8192
 
 
 def _presence(df: DataFrame, item: str, feature: str, by: Sequence[str]) -> DataFrame:
-    return (
+    """Distinct presence rows, written once: several passes read them, and they
+    are far smaller than the text they come from."""
+    return checkpoint(
         df.where(F.col(item).isNotNull() & F.col(feature).isNotNull())
         .select(*by, F.col(feature).alias("__feature"), F.col(item).alias("__item"))
         .distinct()
@@ -41,30 +44,45 @@ def _listed_counts(presence: DataFrame, by: Sequence[str], items: Sequence) -> D
 def _cell_counter(by: Sequence[str]):
     by = list(by)
 
-    def count_cell(pdf):
+    def count_cell(cell):
         import numpy as np
-        import pandas as pd
-
-        lo, hi = pdf["__lo"].iat[0], pdf["__hi"].iat[0]
-        feat, feats = pd.factorize(pdf["__feature"])
-        item, items = pd.factorize(pdf["__item"], sort=True)
-        hits = np.zeros((len(feats), len(items)), dtype=np.float32)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def first(col):
+            return cell.column(col)[0].as_py()
+
+        def codes(col):
+            coded = cell.column(col).combine_chunks().dictionary_encode()
+            return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+        feat, feats = codes("__feature")
+        item, items = codes("__item")
+        order = pc.sort_indices(items).to_numpy()
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        item, names = place[item], items.take(pa.array(order))
+        hits = np.zeros((len(feats), len(names)), dtype=np.float32)
         hits[feat, item] = 1.0
+        lo, hi = first("__lo"), first("__hi")
         if lo == hi:
             counts = np.triu(hits.T @ hits, 1)
-            left = right = np.arange(len(items))
+            left = right = np.arange(len(names))
         else:
-            block = np.zeros(len(items), dtype=np.int64)
-            block[item] = pdf["__block"].to_numpy()
+            block = np.zeros(len(names), dtype=np.int64)
+            block[item] = cell.column("__block").to_numpy()
             left, right = np.nonzero(block == lo)[0], np.nonzero(block == hi)[0]
             counts = hits[:, left].T @ hits[:, right]
         a, b = np.nonzero(counts)
-        names = np.asarray(items)
-        out = {c: [pdf[c].iat[0]] * len(a) for c in by}
-        out["__a"] = names[left[a]]
-        out["__b"] = names[right[b]]
-        out["n"] = counts[a, b].astype(np.int64)
-        return pd.DataFrame(out)
+        kept = {c: pa.array([first(c)], cell.schema.field(c).type).take(pa.array(np.zeros(len(a), np.int64))) for c in by}
+        return pa.table(
+            {
+                **kept,
+                "__a": names.take(pa.array(left[a])),
+                "__b": names.take(pa.array(right[b])),
+                "n": pa.array(counts[a, b].astype(np.int64)),
+            }
+        )
 
     return count_cell
 
@@ -87,7 +105,7 @@ def _block_counts(presence: DataFrame, by: Sequence[str], block: int, chunk: int
     schema = ", ".join(
         [f"`{c}` {types[c]}" for c in by] + [f"__a {types['__item']}", f"__b {types['__item']}", "n bigint"]
     )
-    counted = cells.groupBy(*by, "__chunk", "__lo", "__hi").applyInPandas(_cell_counter(by), schema)
+    counted = cells.groupBy(*by, "__chunk", "__lo", "__hi").applyInArrow(_cell_counter(by), schema)
     return counted.groupBy(*by, "__a", "__b").agg(F.sum("n").alias("n"))
 
 
@@ -106,7 +124,10 @@ def pairwise_count(
     ``item1`` to a short list.
     """
     by = aslist(by)
-    presence = _presence(df, item, feature, by)
+    return _counts(_presence(df, item, feature, by), by, items, block, chunk)
+
+
+def _counts(presence: DataFrame, by: Sequence[str], items: Sequence | None, block: int, chunk: int) -> DataFrame:
     if items is not None:
         return _listed_counts(presence, by, list(items))
     half = _block_counts(presence, by, block, chunk)
@@ -135,7 +156,7 @@ def pairwise_cor(
     presence = _presence(df, item, feature, [])
     holding = presence.groupBy("__item").agg(F.count(F.lit(1)).alias("d"))
     features = presence.select("__feature").distinct().agg(F.count(F.lit(1))).scalar().cast("double")
-    counts = pairwise_count(df, item, feature, items=items, block=block, chunk=chunk)
+    counts = _counts(presence, [], items, block, chunk)
     first = holding.select(F.col("__item").alias("item1"), F.col("d").cast("double").alias("d1"))
     second = holding.select(F.col("__item").alias("item2"), F.col("d").cast("double").alias("d2"))
     if dense:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wordloom.operators.prefix import running_total
 from wordloom.operators.verbs import aslist, attach_totals, join_on_keys
+from wordloom.session import checkpoint
 
 GRID_POINTS = 80
 
@@ -35,7 +36,18 @@ def _at_rank(value: str, rank: Column) -> Column:
     return F.max(F.when(hit, F.col(value)))
 
 
-def quantiles(df: DataFrame, y: str, keys: Sequence[str] = (), probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+def _value_counts(df: DataFrame, y: str, keys: list[str], weight: str | None) -> DataFrame:
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.where(F.col(y).isNotNull()).groupBy(*keys, y).agg(rows.alias("__n"))
+
+
+def quantiles(
+    df: DataFrame,
+    y: str,
+    keys: Sequence[str] = (),
+    probs: Sequence[float] = (0.25, 0.5, 0.75),
+    weight: str | None = None,
+) -> DataFrame:
     """Exact interpolated quantiles ``q0, q1, …`` per key, at any group size.
 
     Values are collapsed to counts, put in order by range, and every quantile
@@ -62,21 +74,26 @@ def quantiles(df: DataFrame, y: str, keys: Sequence[str] = (), probs: Sequence[f
     )
 
 
-def boxplot_stats(df: DataFrame, y: str, keys: Sequence[str] = (), approx: bool = False) -> DataFrame:
+def boxplot_stats(
+    df: DataFrame, y: str, keys: Sequence[str] = (), approx: bool = False, weight: str | None = None
+) -> DataFrame:
     """Quartiles, whisker ends, outlier and row counts per key.
 
     Whiskers reach to the last values within 1.5 interquartile ranges.
-    ``approx`` takes the quartiles from a sketch, in one pass.
+    ``approx`` takes the quartiles from a sketch, in one pass.  ``weight`` says
+    how many rows a row stands for (exact quartiles only).
     """
     keys = aslist(keys)
-    counted = df.where(F.col(y).isNotNull()).groupBy(*keys, y).agg(F.count(F.lit(1)).alias("__n"))
+    if approx and weight is not None:
+        raise ValueError("weights need exact quartiles")
+    counted = checkpoint(_value_counts(df, y, keys, weight))
     if approx:
         sketch = F.percentile_approx(y, [0.25, 0.5, 0.75], 10000)
         quart = df.groupBy(*keys).agg(sketch.alias("__q")).select(
             *keys, *[F.col("__q")[i].cast("double").alias(f"q{i}") for i in range(3)]
         )
     else:
-        quart = quantiles(df, y, keys)
+        quart = quantiles(counted, y, keys, weight="__n")
     if keys:
         joined = join_on_keys(counted, quart, keys, null_safe=True)
     else:

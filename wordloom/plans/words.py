@@ -20,10 +20,12 @@ def words_per_chapter_box(tokens: DataFrame) -> DataFrame:
     """Box-plot of chapter lengths by book.
 
     A chapter's length appears once for each of its distinct words, which
-    weights the quartiles.
+    weights the quartiles; the repeats are passed on as a weight.
     """
-    counts = count_by(tokens, ["volume", "book", "chapter", "word"])
-    return boxplot_stats(group_total(counts, "n", ["chapter"], "n_chapter"), "n_chapter", ["volume", "book"])
+    words = count_by(tokens, ["volume", "book", "chapter", "word"])
+    chapters = words.groupBy("volume", "book", "chapter").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("w"))
+    lengths = group_total(chapters, "n", ["chapter"], "n_chapter")
+    return boxplot_stats(lengths, "n_chapter", ["volume", "book"], weight="w")
 
 
 def term_freq_hist(tokens: DataFrame, bins: int = 30) -> DataFrame:
