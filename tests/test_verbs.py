@@ -141,6 +141,16 @@ def test_quantiles_match_numpy(spark):
     assert whole["median"] == pytest.approx(np.median(np.concatenate(list(groups.values()))))
 
 
+def test_weighted_quantiles_by_two_keys(spark):
+    rng = np.random.default_rng(6)
+    data = [(int(t), "ab"[v], int(y), int(w)) for t, v, y, w in zip(*(rng.integers(1 if m == 4 else 0, m, 300) for m in (3, 2, 20, 4)))]
+    rows = spark.createDataFrame(data, "t int, v string, y int, w int")
+    for r in stats.boxplot_stats(rows, "y", ["t", "v"], weight="w").collect():
+        values = [y for t, v, y, w in data for _ in range(w) if (t, v) == (r["t"], r["v"])]
+        np.testing.assert_allclose([r["q1"], r["median"], r["q3"]], np.percentile(values, [25, 50, 75]))
+        assert r["n"] == len(values)
+
+
 def test_negative_idf_with_repeated_rows(spark):
     rows = spark.createDataFrame([("d", "t", 1), ("d", "t", 2), ("e", "t", 3)], "d string, t string, n int")
     got = tfidf.bind_tf_idf(rows, "t", "d", "n").collect()

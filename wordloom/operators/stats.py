@@ -51,10 +51,11 @@ def quantiles(
     """Exact interpolated quantiles ``q0, q1, …`` per key, at any group size.
 
     Values are collapsed to counts, put in order by range, and every quantile
-    is read off the running count; no group is held in memory.
+    is read off the running count; no group is held in memory.  ``weight`` says
+    how many rows a row stands for.
     """
     keys = aslist(keys)
-    counted = df.where(F.col(y).isNotNull()).groupBy(*keys, y).agg(F.count(F.lit(1)).alias("__n"))
+    counted = _value_counts(df, y, keys, weight)
     ranked = running_total(counted, F.col("__n"), [F.col(y).asc()], by=keys, out="__c")
     ranked = attach_totals(ranked, keys, __t=F.sum("__n"))
     aggs = []
