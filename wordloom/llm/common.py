@@ -6,6 +6,7 @@ of one comparison share a hash with a probability of about 2^-64.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordloom.session import checkpoint
+from wordloom.session import ensure_checkpoint_dir
 
 SLICE_BYTES = 2_000_000
 MULTIPLIER = np.uint64(6364136223846793005)
@@ -33,9 +34,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def pinned(df: DataFrame) -> DataFrame:
+def pinned(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """``df`` written once to the shared folder and read back: fixed for all later passes, safe from lost executors."""
-    return checkpoint(df)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -20,3 +20,19 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.ngram_join import ngram_jaccard_join
 
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.encode import tokenizer_path
+    from wordloom.llm.token_files import token_index, write_token_files
+
+    return token_index(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.encode import tokenizer_path
+    from wordloom.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
