@@ -36,3 +36,60 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+ORACLES["op5_extendible_shards"] = f"""
+WITH doc AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents),
+level AS (SELECT unnest(range(0, 61)) AS depth),
+node AS (
+  SELECT depth, h >> (60 - depth) AS prefix, sum(bytes) AS shard_bytes, count(*) AS shard_docs, min(h) = max(h) AS alone
+  FROM doc, level GROUP BY ALL),
+pick AS (
+  SELECT doc_id, bytes, h, min(depth) AS depth FROM doc JOIN node ON prefix = h >> (60 - depth)
+  WHERE shard_bytes <= {SHARD_BYTES} OR alone GROUP BY ALL)
+SELECT doc_id, bytes, CAST(depth AS INTEGER) AS shard_depth, prefix AS shard_prefix,
+       CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_docs
+FROM pick JOIN node USING (depth) WHERE prefix = h >> (60 - depth)
+"""
+
+
+@query
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+ORACLES["op7_top_k"] = """
+WITH vec AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT q.vec_id AS query_id, x.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM vec q JOIN vec x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM pair QUALIFY rank <= 5
+"""
+
+
+@query
+def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.encode import tokenizer_path
+    from wordloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
