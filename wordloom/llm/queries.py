@@ -93,3 +93,18 @@ def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.html_text import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.quality import fit_quality, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
