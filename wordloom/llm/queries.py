@@ -108,3 +108,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
