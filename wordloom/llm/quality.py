@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.llm.common import map_batches, text_slices
@@ -206,3 +207,17 @@ def quality_scores(docs: DataFrame, model: dict[str, np.ndarray], threshold: flo
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The documents whose text scores at least ``threshold``, with all their columns."""
+    place = docs.columns.index(text)
+
+    def fn(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for row, to, raw, off in text_slices(batch.column(place)):
+                keep[row:to] = score_bytes(model, [raw[off[k] : off[k + 1]] for k in range(to - row)]) >= threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(fn, docs.schema)
