@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wordloom.session import ensure_checkpoint_dir
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 MULTIPLIER = np.uint64(6364136223846793005)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 2**64))
@@ -52,7 +52,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n, SLICE_BYTES + 1)
         _powers[:] = [
             np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_ODD, _INVERSE)
         ]
@@ -93,7 +93,7 @@ class Words:
 
 
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Views of at most about two million bytes of a string column (null counts as empty): rows from, to, bytes, offsets."""
+    """Views of at most about half a million bytes of a string column (null counts as empty): rows from, to, bytes, offsets."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
