@@ -37,7 +37,7 @@ def encoder(path: str, leading_space: bool) -> Encoder:
 
 
 class Encoder:
-    def __init__(self, path: str, leading_space: bool, limit: int = 600_000):
+    def __init__(self, path: str, leading_space: bool, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,8 +53,18 @@ class Encoder:
         self._reset()
 
     def _reset(self):
-        self.at: dict[str, int] = {}
-        self.start, self.size, self.store, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.at: dict[str, int] = {}  # in order of their index
+        self.start, self.size, self.hits = (np.zeros(0, np.int64) for _ in range(3))
+        self.store, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _forget(self):
+        """Keep the words that were met again; new ones are mostly met once."""
+        keep = np.flatnonzero(self.hits >= 2)
+        words, start, size = list(self.at), self.start[keep], self.size[keep]
+        at = np.cumsum(size) - size
+        self.store[: size.sum()] = self.store[np.repeat(start - at, size) + np.arange(size.sum())]
+        self.at = {words[k]: n for n, k in enumerate(keep)}
+        self.start, self.size, self.hits, self.used = at, size, self.hits[keep] // 2, int(size.sum())
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -106,12 +116,13 @@ class Encoder:
                 words += own
             ends.append(len(words))
         if len(self.at) > self.limit:
-            self._reset()
+            self._forget()
         where = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(where < 0)
         if len(missing):
             self._learn(list(dict.fromkeys(words[k] for k in missing)))
             where[missing] = [self.at[words[k]] for k in missing]
+        self.hits = np.bincount(where, minlength=len(self.start)) + np.pad(self.hits, (0, len(self.start) - len(self.hits)))
         size = self.size[where]
         off = np.concatenate([[0], np.cumsum(size)])
         flat = self.store[np.repeat(self.start[where] - off[:-1], size) + np.arange(off[-1])]

@@ -21,6 +21,7 @@ from wordloom.llm.token_files import map_partitions
 LENGTH = 2048
 FEATURES = 256
 BITS = 10
+_FEATURE = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(FEATURES)).astype(np.int64)
 _PROJECTION = np.random.default_rng(20240502).normal(size=(FEATURES, 3)) / np.sqrt(3)
 
 
@@ -55,7 +56,7 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 def document_keys(documents: list[np.ndarray]) -> np.ndarray:
     counts = np.zeros((len(documents), FEATURES))
     for row, ids in zip(counts, documents, strict=True):
-        row += np.bincount((mix(ids.astype(np.uint64)) % np.uint64(FEATURES)).astype(np.int64), minlength=FEATURES)
+        row += np.bincount(_FEATURE[ids & 0xFFFF], minlength=FEATURES)
     root = np.sqrt(counts)
     root /= np.maximum(np.sqrt((root * root).sum(1, keepdims=True)), 1e-12)
     point = 1 / (1 + np.exp(-3 * (root @ _PROJECTION)))
