@@ -80,14 +80,16 @@ def agg_grand_total(spark, d):
 
 @query(
     "agg_all_numeric",
-    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity, CAST(sum(l_linenumber) AS BIGINT) AS l_linenumber,
-  CAST(sum(l_suppkey) AS BIGINT) AS l_suppkey FROM lineitem GROUP BY ALL""",
+    """SELECT l_returnflag, l_linestatus, CAST(sum(l_orderkey) AS BIGINT) AS l_orderkey,
+  CAST(sum(l_partkey) AS BIGINT) AS l_partkey, CAST(sum(l_suppkey) AS BIGINT) AS l_suppkey,
+  CAST(sum(l_linenumber) AS BIGINT) AS l_linenumber, round(sum(l_quantity), 2) AS l_quantity,
+  round(sum(l_extendedprice), 2) AS l_extendedprice, round(sum(l_discount), 2) AS l_discount,
+  round(sum(l_tax), 2) AS l_tax FROM lineitem GROUP BY ALL""",
 )
 def agg_all_numeric(spark, d):
-    items = table(spark, d, "lineitem").select(
-        "l_returnflag", "l_linestatus", "l_quantity", "l_linenumber", "l_suppkey", "l_shipdate"
-    )
-    return verbs.sum_numeric(items, ["l_returnflag", "l_linestatus"])
+    sums = verbs.sum_numeric(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"])
+    doubles = [c for c, kind in sums.dtypes if kind == "double"]
+    return rounded(sums, *doubles, digits=2)
 
 
 @query("agg_doc_freq", with_tokens(" SELECT word AS term, count(DISTINCT chapter) AS n FROM token GROUP BY word"))

@@ -29,7 +29,7 @@ def _kmeans(spark, d):
 
 
 def _fit(spark, d):
-    return topics.fit_topics(_dtm(spark, d), k=8, seed=234, max_iter=10)
+    return topics.fit_topics(_dtm(spark, d), k=8, seed=234)
 
 
 @query("lda_gamma")

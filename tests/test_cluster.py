@@ -216,3 +216,12 @@ def test_matrix_tables(spark):
         3: [0, 0, 1],
     }
     assert {r["term"]: r["idx"] for r in vocab.collect()} == {"a": 0, "b": 1, "c": 2}
+
+
+def test_choice_of_k_from_two_with_kmeans(spark):
+    from wordloom.operators.indices import select_k
+
+    rows = [(i, c, float(10 * (i % 3) + (i // 3) * 0.1 + c)) for i in range(12) for c in (1, 2)]
+    matrix = spark.createDataFrame(rows, "document long, term long, n double")
+    got = select_k(matrix, (2, 3, 4), "kmeans", ["kl", "ch"], row="document", col="term", value="n").collect()
+    assert {(r["index"], r["k"]) for r in got if r["chosen"]} >= {("ch", 3)}

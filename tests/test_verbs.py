@@ -187,3 +187,18 @@ def test_loess_matches_weighted_least_squares(spark):
 def test_loess_needs_three_places(spark):
     rows = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0)], "x double, y double")
     assert all(r["y"] is None for r in stats.loess(rows, "x", "y").collect())
+
+
+def test_spread_refuses_repeated_cells(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "x", 2)], "id string, key string, n int")
+    with pytest.raises(Exception, match="several rows"):
+        verbs.spread(df, "key", "n", values=["x"]).collect()
+
+
+def test_t_quantile(spark):
+    from wordloom.operators.stats import _t_quantile_975
+
+    df = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (3.0,), (5.0,), (10.0,), (100.0,)], "df double")
+    got = [r[0] for r in df.select(_t_quantile_975(F.col("df"))).collect()]
+    assert got[0] is None
+    assert got[1:] == pytest.approx([12.7062, 4.30265, 3.18245, 2.57058, 2.22814, 1.98397], abs=1e-3)

@@ -192,14 +192,24 @@ def _local_fits(collapsed: DataFrame, by: list[str], span: float, points: int) -
 
 
 def _t_quantile_975(df: Column) -> Column:
-    """97.5 % point of Student's t by its expansion in 1/df."""
+    """97.5 % point of Student's t: tabled up to 6 degrees of freedom (interpolated in 1/df), above by its expansion in
+    1/df, which is then within 0.001; NULL without degrees of freedom, the value for 1 below 1."""
     z = 1.959963984540054
     g = (
         (z**3 + z) / 4,
         (5 * z**5 + 16 * z**3 + 3 * z) / 96,
         (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
     )
-    return F.lit(z) + g[0] / df + g[1] / (df * df) + g[2] / (df * df * df)
+    series = F.lit(z) + sum((c / F.pow(df, n) for n, c in enumerate(g, 1)), F.lit(0.0))
+    # 97.5 % points for few degrees of freedom, between which 1/df is interpolated.
+    points = {1: 12.706204736432095, 2: 4.302652729911275, 3: 3.182446305284263, 4: 2.7764451051977987}
+    points |= {5: 2.5705818366147395, 6: 2.4469118511449692}
+    out = F.when(df <= 0, F.lit(None)).when(df <= 1, F.lit(points[1]))
+    for n in range(1, 6):
+        part = (1 / df - 1 / (n + 1)) / (1 / n - 1 / (n + 1))
+        out = out.when(df <= n + 1, points[n + 1] + part * (points[n] - points[n + 1]))
+    return out.otherwise(series)
 
 
 def loess(

@@ -192,10 +192,11 @@ def join_argmax(totals: DataFrame, rows: DataFrame, by: Sequence[str], weight: s
 def spread(
     df: DataFrame, key: str, value: str, fill=None, values: Sequence | None = None
 ) -> DataFrame:
-    """Long → wide.  Pass ``values`` to save the job that lists them."""
+    """Long → wide; fails on a cell with more than one row.  Pass ``values`` to save the job that lists them."""
     ids = [c for c in df.columns if c not in (key, value)]
     grouped = df.groupBy(*ids).pivot(key, list(values)) if values is not None else df.groupBy(*ids).pivot(key)
-    wide = grouped.agg(F.first(value))
+    repeated = F.raise_error(F.lit(f"several rows for one {value}")).cast(df.schema[value].dataType)
+    wide = grouped.agg(F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.first(value)))
     if fill is None:
         return wide
     return wide.select(
