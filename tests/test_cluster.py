@@ -57,11 +57,11 @@ def test_row_without_cells_is_kept(spark):
     assert labels.count() == 3
 
 
-@pytest.mark.parametrize("finish,block", [(6, 16), (256, 512)])
-def test_ward_equals_one_by_one_merging(spark, finish, block):
+@pytest.mark.parametrize("block", [16, 512])
+def test_ward_equals_one_by_one_merging(spark, block):
     x, _ = blobs(50)
     df, _ = long(spark, x)
-    merges, leaves = cluster.hclust_ward(df, "item", "col", "x", block=block, finish=finish)
+    merges, leaves = cluster.hclust_ward(df, "item", "col", "x", block=block)
     rows = merges.orderBy("step").collect()
     np.testing.assert_allclose([r["height"] for r in rows], sorted(ward_heights(x)), rtol=1e-9)
     assert rows[-1]["size"] == 50 and leaves.count() == 50
@@ -84,7 +84,7 @@ def test_two_tight_pairs(spark):
 def test_cut_finds_blobs(spark):
     x, which = blobs(45)
     df, names = long(spark, x)
-    got = {r["item"]: r["cluster"] for r in cluster.cutree(*cluster.hclust_ward(df, "item", "col", "x", finish=8), 3).collect()}
+    got = {r["item"]: r["cluster"] for r in cluster.cutree(*cluster.hclust_ward(df, "item", "col", "x"), 3).collect()}
     assert [got[n] for n in names] == list(which)
     labels, centers = cluster.kmeans(df, 3, row="item", col="col", value="x")
     assert {len({r["cluster"] for r in labels.collect() if which[names.index(r["item"])] == w}) for w in (1, 2, 3)} == {1}
@@ -225,3 +225,28 @@ def test_choice_of_k_from_two_with_kmeans(spark):
     matrix = spark.createDataFrame(rows, "document long, term long, n double")
     got = select_k(matrix, (2, 3, 4), "kmeans", ["kl", "ch"], row="document", col="term", value="n").collect()
     assert {(r["index"], r["k"]) for r in got if r["chosen"]} >= {("ch", 3)}
+
+
+def test_components_of_more_columns_than_a_square_matrix_allows(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.random((30, 400)) < 0.05) * rng.integers(1, 9, (30, 400)).astype(float)
+    x[:, :3] += rng.normal(size=(30, 3)) * np.array([30, 20, 10])
+    df, names = long(spark, x)
+    plane = mx.mds(df, "item", "col", "x", k=2)
+    at = np.zeros((30, 2))
+    for r in plane.collect():
+        at[names.index(r["item"]), r["dim"] - 1] = r["coord"]
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    np.testing.assert_allclose(np.abs(at), np.abs(u[:, :2] * s[:2]), atol=1e-4)
+
+
+def test_ward_tree_of_a_tied_grid_and_of_one_row(spark):
+    x = np.array([[float(i), float(j)] for i in range(1, 5) for j in range(1, 5)])
+    df, _ = long(spark, x)
+    rows = cluster.hclust_ward(df, "item", "col", "x")[0].orderBy("step").collect()
+    assert [r["height"] for r in rows][:8] == pytest.approx([1.0] * 8)
+    total = ((x - x.mean(0)) ** 2).sum()
+    assert len(rows) == 15 and sum(r["height"] ** 2 for r in rows) / 2 == pytest.approx(total)
+    one, _ = long(spark, x[:1])
+    merges, leaves = cluster.hclust_ward(one, "item", "col", "x")
+    assert merges.count() == 0 and leaves.count() == 1

@@ -9,15 +9,13 @@ distances themselves, or only their sums.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
-from wordloom.operators.dtm import row_arrays, to_vectors, vocabulary
+from wordloom.operators.dtm import row_arrays, vocabulary
 from wordloom.session import checkpoint
 
 BLOCK = 512
-MAX_PCA_COLUMNS = 10_000
 
 
 def row_vectors(matrix: DataFrame, row: str, col: str, value: str, rows: DataFrame | None = None) -> DataFrame:
@@ -47,8 +45,6 @@ def cell_distances():
     """
 
     def measure(pdf):
-        import numpy as np
-
         sizes = np.fromiter((len(i) for i in pdf["idx"]), dtype=np.int64, count=len(pdf))
         flat = np.concatenate([np.asarray(i, dtype=np.int64) for i in pdf["idx"]])
         used, at = np.unique(flat, return_inverse=True)
@@ -76,9 +72,6 @@ def pairwise_distance(
     measure = cell_distances()
 
     def pairs(pdf):
-        import numpy as np
-        import pandas as pd
-
         left, right, dist = measure(pdf)
         items = pdf["item"].to_numpy()
         if pdf["__lo"].iat[0] == pdf["__hi"].iat[0]:
@@ -95,18 +88,77 @@ def pairwise_distance(
 # --- components ------------------------------------------------------------
 
 
-def _principal(matrix: DataFrame, row: str, col: str, value: str, k: int, scale: bool, rows: DataFrame | None):
-    vectors, vocab = to_vectors(checkpoint(matrix.select(row, col, value)), row, col, value, rows=rows)
-    columns = vocab.count()
-    if columns > MAX_PCA_COLUMNS:
-        raise ValueError(f"{columns} columns: prune first, the driver holds columns × columns numbers")
-    vectors = checkpoint(vectors)
-    scaler = StandardScaler(withMean=True, withStd=scale, inputCol="features", outputCol="centred").fit(vectors)
-    centred = scaler.transform(vectors)
-    model = PCA(k=min(k, columns), inputCol="centred", outputCol="scores").fit(centred)
-    loadings = model.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(0), np.arange(loadings.shape[1])])
-    return model.transform(centred), vocab, loadings * signs, signs, np.array(model.explainedVariance)
+def _column_moments(arrays: DataFrame, columns: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, and mean and population variance of each column (absent cells are zeros)."""
+    n = arrays.count()
+    cells = arrays.select(F.inline(F.arrays_zip("idx", "val")))
+    square = F.col("val") * F.col("val")
+    sums = cells.groupBy("idx").agg(F.sum("val").alias("s"), F.sum(square).alias("ss")).toPandas()
+    mean, power = np.zeros(columns), np.zeros(columns)
+    mean[sums["idx"]] = sums["s"] / n
+    power[sums["idx"]] = sums["ss"] / n
+    variance = power - mean * mean
+    return n, mean, np.where(variance > 1e-12 * power, variance, 0.0)
+
+
+def _rows_times(shared, idx, val) -> np.ndarray:
+    """Sparse rows times the shared matrix → rows × k."""
+    sizes = np.fromiter((len(i) for i in idx), np.int64, len(idx))
+    out = np.zeros((len(idx), shared.shape[1]))
+    if sizes.sum():
+        terms = shared[np.concatenate(list(idx))] * np.concatenate(list(val))[:, None]
+        np.add.at(out, np.repeat(np.arange(len(idx)), sizes), terms)
+    return out
+
+
+def _gram_times(arrays: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """``XᵀX·basis`` for sparse rows ``X``: each task sums its own part, columns × k numbers reach the driver."""
+    spark = arrays.sparkSession
+    k = basis.shape[1]
+    shared = spark.sparkContext.broadcast(basis)  # columns × k numbers, as on the driver
+    names = [f"v{j}" for j in range(k)]
+
+    def part(frames):
+        total = np.zeros(shared.value.shape)
+        for pdf in frames:
+            seen = pdf[pdf["idx"].map(len) > 0]
+            if len(seen):
+                weights = _rows_times(shared.value, seen["idx"], seen["val"])
+                sizes = seen["idx"].map(len).to_numpy()
+                terms = np.repeat(weights, sizes, axis=0) * np.concatenate(list(seen["val"]))[:, None]
+                np.add.at(total, np.concatenate(list(seen["idx"])), terms)
+        used = np.flatnonzero(total.any(1))
+        yield pd.DataFrame(total[used], columns=names).assign(idx=used.astype("int32"))[["idx", *names]]
+
+    parts = arrays.select("idx", "val").mapInPandas(part, "idx int, " + ", ".join(f"{c} double" for c in names))
+    sums = parts.groupBy("idx").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+    out = np.zeros(basis.shape)
+    out[sums["idx"]] = sums[names].to_numpy()
+    shared.unpersist()
+    return out
+
+
+def principal_axes(
+    arrays: DataFrame, n: int, mean: np.ndarray, inverse: np.ndarray, k: int, max_iter: int = 100, tol: float = 1e-7
+) -> tuple[np.ndarray, np.ndarray]:
+    """Largest ``k`` eigenvalues and vectors of the scatter of ``(x - mean) * inverse`` by block subspace iteration.
+
+    The mean is subtracted implicitly, so rows stay sparse, and no columns × columns matrix is formed.  A few more
+    vectors than asked for speed up convergence; it ends when all residuals are below ``tol`` times the first value.
+    """
+    columns = len(mean)
+    basis = np.linalg.qr(np.random.default_rng(1).normal(size=(columns, min(k + 8, columns))))[0]
+    for _ in range(max_iter):
+        scaled = basis * inverse[:, None]
+        image = (_gram_times(arrays, scaled) - n * np.outer(mean, mean @ scaled)) * inverse[:, None]
+        values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
+        turn, values = turn[:, ::-1], values[::-1]
+        vectors, image = basis @ turn, image @ turn
+        residual = np.linalg.norm(image[:, :k] - vectors[:, :k] * values[:k], axis=0)
+        if columns == basis.shape[1] or residual.max() <= tol * max(values[0], 1e-300):
+            break
+        basis = np.linalg.qr(image)[0]
+    return np.maximum(values[:k], 0.0), vectors[:, :k]
 
 
 def pca(
@@ -114,26 +166,48 @@ def pca(
 ) -> tuple[DataFrame, DataFrame]:
     """``(scores, loadings)`` of the principal components of a long matrix.
 
-    Absent cells are zeros.  ``scale`` divides by the population deviation.
-    Each component points to its largest loading.
+    Absent cells are zeros.  ``scale`` divides by the population deviation (constant columns take no part).
+    Each component points to its largest loading.  The driver holds columns × (k + 8) numbers.
     Scores: ``row, comp, score``; loadings: ``col, comp, loading, explained``.
     """
-    scored, vocab, loadings, signs, explained = _principal(matrix, row, col, value, k, scale, rows)
     spark = matrix.sparkSession
-    if scale:
-        n = scored.agg(F.count(F.lit(1))).scalar()
-        factor: Column = F.sqrt(n / (n - 1))
-    else:
-        factor = F.lit(1.0)
-    sign = F.array(*[F.lit(float(s)) for s in signs])
-    scores = scored.select(row, F.posexplode(vector_to_array("scores")).alias("i", "s")).select(
-        row, (F.col("i") + 1).alias("comp"), (F.col("s") * F.get(sign, F.col("i")) * factor).alias("score")
+    matrix = checkpoint(matrix.select(row, col, value))
+    vocab = checkpoint(vocabulary(matrix, col))
+    columns = vocab.count()
+    kind = dict(matrix.dtypes)[row]
+    arrays = checkpoint(row_arrays(matrix, row, col, value, vocab, rows))
+    n, mean, variance = _column_moments(arrays, columns)
+    deviation = np.sqrt(variance) if scale else np.ones(columns)
+    inverse = np.divide(1.0, deviation, out=np.zeros(columns), where=deviation > 0)
+    values, axes = principal_axes(arrays, n, mean, inverse, min(k, columns))
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+    explained = values / max(float((n * variance * inverse * inverse).sum()), 1e-300)
+
+    shared = spark.sparkContext.broadcast(axes * inverse[:, None])
+    centre = mean @ shared.value
+
+    def project(frames):
+        for pdf in frames:
+            scores = _rows_times(shared.value, pdf["idx"], pdf["val"]) - centre
+            wide = scores.shape[1]
+            yield pd.DataFrame(
+                {
+                    row: pdf[row].repeat(wide).to_numpy(),
+                    "comp": np.tile(np.arange(1, wide + 1, dtype="int32"), len(pdf)),
+                    "score": scores.ravel(),
+                }
+            )
+
+    scores = arrays.mapInPandas(project, f"`{row}` {kind}, comp int, score double")
+    wide = axes.shape[1]
+    cells = pd.DataFrame(
+        {
+            "idx": np.repeat(np.arange(columns, dtype="int32"), wide),
+            "comp": np.tile(np.arange(1, wide + 1, dtype="int32"), columns),
+            "loading": axes.ravel(),
+            "explained": np.tile(explained, columns),
+        }
     )
-    cells = [
-        (int(i), int(j) + 1, float(loadings[i, j]), float(explained[j]))
-        for i in range(loadings.shape[0])
-        for j in range(loadings.shape[1])
-    ]
     table = spark.createDataFrame(cells, "idx int, comp int, loading double, explained double")
     return scores, table.join(vocab, "idx").select(col, "comp", "loading", "explained")
 
