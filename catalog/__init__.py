@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from catalog import counting, matrix, models, pairs, sentiment, text  # noqa: F401
+    from catalog import counting, invariants, matrix, models, pairs, sentiment, text  # noqa: F401

@@ -1,5 +1,5 @@
-"""Fitted models: topics, k-means, Ward trees, components.  No SQL exists for
-these; ``tests`` check them against direct computation on small inputs."""
+"""Fitted models: topics, k-means, Ward trees, components.  No SQL gives their numbers; ``tests`` check them against
+direct computation on small inputs, and ``catalog.invariants`` checks what must hold of them with SQL."""
 
 from __future__ import annotations
 
@@ -44,7 +44,7 @@ def lda_beta(spark, d):
 
 @query("lda_tune")
 def lda_tune(spark, d):
-    return topics.tune_topics(_pruned(spark, d)[0], ks=(5, 6, 7, 8, 9, 10), max_iter=10)
+    return topics.tune_topics(_dtm(spark, d), ks=(5, 6, 7, 8, 9, 10))
 
 
 @query("q_doc_top_topic_fitted")
@@ -111,8 +111,7 @@ def pca_scores(spark, d):
 
 @query("mds_coords")
 def mds_coords(spark, d):
-    pruned, documents = _pruned(spark, d)
-    return mx.mds(pruned, "document", "term", "n", k=2, rows=documents)
+    return mx.mds(_dtm(spark, d), "document", "term", "n", k=2)
 
 
 @query("cluster_discriminant")

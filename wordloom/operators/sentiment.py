@@ -31,20 +31,23 @@ def pair_sentiment(
 
 
 def comparison_scores(
-    df: DataFrame, term: str, category: str, n: str, max_words: int, categories: Sequence
+    df: DataFrame, term: str, category: str, n: str, max_words: int, categories: Sequence, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Terms that stand out in a category → ``term, category, weight``.
+    """Terms that stand out in a category → ``[by,] term, category, weight``.
 
     Each category's counts become proportions; a term's weight is its largest
     excess over its mean proportion across the listed categories (absent ones
-    count 0).  The ``max_words`` largest weights are returned, ties kept.
+    count 0).  The ``max_words`` largest weights are returned, ties kept; all
+    of this within each group of ``by``.  Of categories with the same proportion
+    the one listed first counts.
     """
-    summed = df.groupBy(term, category).agg(F.sum(n).alias("__n"))
-    shares = attach_totals(summed, [category], __t=exact_sum("__n").cast("double")).withColumn(
+    by = list(by)
+    summed = df.groupBy(*by, term, category).agg(F.sum(n).alias("__n"))
+    shares = attach_totals(summed, [*by, category], __t=exact_sum("__n").cast("double")).withColumn(
         "__p", F.col("__n") / F.col("__t")
     )
     cols = [f"__p{i}" for i in range(len(categories))]
-    wide = shares.groupBy(term).agg(
+    wide = shares.groupBy(*by, term).agg(
         *[
             F.coalesce(F.max(F.when(F.col(category) == c, F.col("__p"))), F.lit(0.0)).alias(x)
             for c, x in zip(categories, cols)
@@ -56,5 +59,5 @@ def comparison_scores(
     for c, x in zip(categories, cols):
         hit = F.col(x) == best
         which = F.when(hit, F.lit(c)) if which is None else which.when(hit, F.lit(c))
-    scored = wide.select(term, which.alias(category), F.round(best - mean, 12).alias("weight"))
-    return top_n(scored, max_words, "weight")
+    scored = wide.select(*by, term, which.alias(category), F.round(best - mean, 12).alias("weight"))
+    return top_n(scored, max_words, "weight", by=by)

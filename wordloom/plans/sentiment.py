@@ -69,10 +69,12 @@ def posneg_series(tokens: DataFrame, lex: DataFrame, excluded_volume: str) -> Da
     return _series(tokens, lex, excluded_volume, ("positive", "negative"))
 
 
-def sentiment_comparison(tokens: DataFrame, lex: DataFrame, categories: Sequence[str], n: int = 500) -> DataFrame:
-    """Words that stand out in each sentiment."""
-    counts = sentiment_counts(tokens.withColumn("term", F.col("word")), lex, ["term"])
-    return comparison_scores(counts, "term", "sentiment", "n", n, categories)
+def sentiment_comparison(
+    tokens: DataFrame, lex: DataFrame, categories: Sequence[str], n: int = 500, by: Sequence[str] = ()
+) -> DataFrame:
+    """Words that stand out in each sentiment, within each group of ``by``."""
+    counts = sentiment_counts(tokens.withColumn("term", F.col("word")), lex, [*by, "term"])
+    return comparison_scores(counts, "term", "sentiment", "n", n, categories, by)
 
 
 def zero_filled(df: DataFrame, keys: Sequence[str], sentiments: Sequence[str]) -> DataFrame:

@@ -41,6 +41,13 @@ def read_documents(spark: SparkSession, glob: str, key_pattern: str | None = FIL
     return raw.select("path", *keys_from_name("path", key_pattern), "text")
 
 
+def read_lexicon(spark: SparkSession, path: str, word: str = "word", *more: str) -> DataFrame:
+    """A stop-word or sentiment table from a CSV file or folder with a header, or from Parquet: distinct rows of the
+    named columns, words in lower case; rows without a word go."""
+    rows = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
+    return rows.where(F.col(word).isNotNull()).select(F.lower(word).alias(word), *more).distinct()
+
+
 def to_lines(df: DataFrame, id: Sequence[str] | str, text: str = "text") -> DataFrame:
     """One row per line with an explicit ``line_no`` from 0."""
     ids = [id] if isinstance(id, str) else list(id)
