@@ -309,6 +309,21 @@ def test_passages(docs, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_passages_after_a_partial_copy(spark):
+    """A run of 50 words is found though an even earlier document holds only its first 45 words."""
+    from wordloom.llm.passages import repeated_passages
+
+    rows, r = [], random.Random(11)
+    text = lambda n: [f"{r.choice(VOCABULARY)}{r.randrange(10**6)}" for _ in range(n)]
+    for k in range(60):
+        run = text(50)
+        for n, head in enumerate((run[:45], run, run)):
+            rows.append((3 * k + n, " ".join(text(30) + head + text(30))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(s.doc_id, s.start_word, s.end_word, s.source_doc_id, s.source_start, s.source_end) for s in repeated_passages(frame).collect()}
+    assert {(3 * k + 2, 30, 80, 3 * k + 1, 30, 80) for k in range(60)} <= found
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>'
     '<div class="ad">Buy {n}</div><{tag}><h1>Title&nbsp;{n}</h1><p><b>First &amp; best{n}<br>next<p>Second   par\nagraph'
