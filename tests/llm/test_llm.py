@@ -324,6 +324,46 @@ def test_passages_after_a_partial_copy(spark):
     assert {(3 * k + 2, 30, 80, 3 * k + 1, 30, 80) for k in range(60)} <= found
 
 
+def jaccard_of(a, b):
+    x, y = set(shingles(a)), set(shingles(b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize(
+    "words,edits,partial,part",
+    [(60, 1, 0, 0), (80, 2, 0, 0), (120, 3, 0, 0), (80, 2, 1, 40), (80, 2, 2, 40), (80, 2, 8, 30), (80, 2, 4, 40), (50, "ends", 0, 0), (50, "ends", 4, 25)],
+)
+def test_edited_passages(spark, words, edits, partial, part):
+    """Passages of similarity 0.76 and more are found whatever parts of them earlier documents hold."""
+    from wordloom.llm.passages import repeated_passages
+
+    r, rows, want = random.Random(f"{words} {edits} {partial}"), [], []
+    fresh = lambda n: [f"v{r.randrange(20000)}" for _ in range(n)]
+    while len(want) < 60:
+        run = fresh(words)
+        copy = list(run)
+        for at in (0, words - 1) if edits == "ends" else r.sample(range(words), edits):
+            copy[at] = "changed"
+        if jaccard_of(run, copy) < 0.76:
+            continue
+        for _ in range(partial):
+            at = r.randrange(words - part + 1)
+            rows.append((len(rows), " ".join(fresh(40) + run[at : at + part] + fresh(40))))
+        for body in (run, copy):
+            rows.append((len(rows), " ".join(fresh(40) + body + fresh(40))))
+        want.append(len(rows) - 1)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = collections.defaultdict(list)
+    for s in repeated_passages(frame).collect():
+        spans[s.doc_id].append(s)
+    hit = 0
+    for doc in want:
+        covered = {k for s in spans[doc] for k in range(s.start_word, s.end_word)}
+        hit += len(covered & set(range(40, 40 + words))) >= 0.9 * words
+    print(f"{words} words, {edits} edits, {partial} parts of {part}: {hit} of {len(want)}")
+    assert hit >= 0.9 * len(want)
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>'
     '<div class="ad">Buy {n}</div><{tag}><h1>Title&nbsp;{n}</h1><p><b>First &amp; best{n}<br>next<p>Second   par\nagraph'
