@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.operators import prefix, stats, structure, tfidf, verbs
+from wordloom.operators.loess import loess
 
 
 def test_top_n_keeps_ties(spark):
@@ -172,7 +173,7 @@ def test_loess_matches_weighted_least_squares(spark):
     x = np.round(np.sort(rng.uniform(0, 10, 70)), 1)
     y = np.sin(x) + rng.normal(scale=0.2, size=70)
     rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    fit = stats.loess(rows, "x", "y", span=0.6, se=True).orderBy("x").collect()
+    fit = loess(rows, "x", "y", span=0.6, se=True).orderBy("x").collect()
     assert len(fit) == 80
     rows_at = np.array([_loess(x, y, r["x"], 0.6) for r in fit])
     np.testing.assert_allclose([r["y"] for r in fit], rows_at @ y, atol=1e-8)
@@ -184,9 +185,45 @@ def test_loess_matches_weighted_least_squares(spark):
     assert all(r["ymin"] < r["y"] < r["ymax"] for r in fit)
 
 
+def test_loess_of_clustered_and_repeated_places(spark):
+    rng = np.random.default_rng(6)
+    groups = {
+        "dense": np.concatenate([rng.uniform(0, 1e-6, 4000), rng.uniform(0, 1, 40), [1e3]]),
+        "few": np.repeat(rng.uniform(-5, 5, 6), 30),
+        "even": np.arange(500.0),
+        "far": 1e9 + rng.uniform(0, 3, 300).round(2),
+    }
+    data = [(g, float(a), float(b)) for g, x in groups.items() for a, b in zip(x, 50 + np.cos(x) + rng.normal(size=len(x)))]
+    rows = spark.createDataFrame(data, "g string, x double, y double").repartition(5)
+    fit = loess(rows, "x", "y", ["g"], span=0.4)
+    got = {(r["g"], round(r["x"], 9)): r["y"] for r in fit.collect()}
+    compared = set()
+    for g, x in groups.items():
+        y = np.array([b for h, _, b in data if h == g])
+        for x0 in np.linspace(x.min(), x.max(), 80):
+            d = np.abs(x - x0)
+            h = np.sort(d)[int(np.floor(len(x) * 0.4 + 1e-5)) - 1]
+            if h > 1e-9 and len(np.unique(x[d < h])) > 5:  # well determined
+                u, w = (x - x0) / h, np.where(d < h, 1 - (d / max(h, 1e-300)) ** 3, 0) ** 1.5
+                left = np.vander(u, 3, increasing=True) * w[:, None]
+                if np.linalg.cond(left) > 1e4:
+                    continue
+                want = np.linalg.lstsq(left, y * w, rcond=None)[0][0]
+                compared.add(g)
+                near = min((v for k, v in got if k == g), key=lambda v: abs(v - x0))
+                assert got[g, near] == pytest.approx(want, abs=1e-5, rel=1e-5), (g, x0)
+    assert compared == {"dense", "even", "far"}
+
+
+def test_loess_moves_no_rows(spark):
+    rows = spark.range(5000).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 7 AS DOUBLE) AS y")
+    plan = loess(rows, "x", "y", se=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Python" not in plan
+
+
 def test_loess_needs_three_places(spark):
     rows = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0)], "x double, y double")
-    assert all(r["y"] is None for r in stats.loess(rows, "x", "y").collect())
+    assert all(r["y"] is None for r in loess(rows, "x", "y").collect())
 
 
 def test_spread_refuses_repeated_cells(spark):
@@ -196,7 +233,7 @@ def test_spread_refuses_repeated_cells(spark):
 
 
 def test_t_quantile(spark):
-    from wordloom.operators.stats import _t_quantile_975
+    from wordloom.operators.loess import _t_quantile_975
 
     df = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (3.0,), (5.0,), (10.0,), (100.0,)], "df double")
     got = [r[0] for r in df.select(_t_quantile_975(F.col("df"))).collect()]

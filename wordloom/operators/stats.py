@@ -1,17 +1,15 @@
-"""Distribution summaries and local regression."""
+"""Distribution summaries."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.operators.prefix import running_total
 from wordloom.operators.verbs import aslist, attach_totals, join_on_keys
 from wordloom.session import checkpoint
 
-GRID_POINTS = 80
-
 
 def histogram(df: DataFrame, x: str, bins: int = 30, facet: Sequence[str] = ()) -> DataFrame:
     """Equal-width, right-closed bins shared by all facets; the first is centred
@@ -111,151 +109,3 @@ def boxplot_stats(
         F.sum(F.when((value < low) | (value > high), F.col("__n")).otherwise(0)).alias("outliers"),
         F.sum("__n").alias("n"),
     )
-
-
-# --- local regression ------------------------------------------------------
-
-
-def _collapsed(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """One row per distinct x; a fit depends on the rows only through these sums."""
-    points = (
-        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .select(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-        .groupBy(*by, "__x")
-        .agg(
-            F.count(F.lit(1)).alias("__m"),
-            F.sum("__y").alias("__sy"),
-            F.sum(F.col("__y") * F.col("__y")).alias("__syy"),
-        )
-    )
-    return attach_totals(points, by, __lo=F.min("__x"), __hi=F.max("__x"), __n=F.sum("__m"))
-
-
-def _grid_x(points: int) -> Column:
-    return F.col("__lo") + F.col("__i") * ((F.col("__hi") - F.col("__lo")) / (points - 1))
-
-
-def _solve_intercept(s: list[Column], t: list[Column]) -> tuple[Column, list[Column]]:
-    """First coefficient of a weighted quadratic, and the first row of the
-    inverse moment matrix, from moments ``s[0..4]`` and ``t[0..2]``."""
-    c0 = s[2] * s[4] - s[3] * s[3]
-    c1 = s[2] * s[3] - s[1] * s[4]
-    c2 = s[1] * s[3] - s[2] * s[2]
-    det = s[0] * c0 + s[1] * c1 + s[2] * c2
-    row = [F.try_divide(c, det) for c in (c0, c1, c2)]
-    return row[0] * t[0] + row[1] * t[1] + row[2] * t[2], row
-
-
-def _local_fits(collapsed: DataFrame, by: list[str], span: float, points: int) -> DataFrame:
-    """Fits at the grid: ``by, __i, x, y, __lev, __norm`` and the group's size.
-
-    ``__lev`` is the weight a point at the grid value gives itself, ``__norm``
-    the sum of squared weights of all points.
-    """
-    cells = collapsed.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    cells = cells.withColumn("__x0", _grid_x(points)).withColumn("__d", F.abs(F.col("__x") - F.col("__x0")))
-    cell = Window.partitionBy(*by, "__i")
-    near = F.sum("__m").over(cell.orderBy("__d").rowsBetween(Window.unboundedPreceding, 0))
-    q = F.least(F.greatest(F.floor(F.col("__n") * span + 1e-5), F.lit(1)), F.col("__n"))
-    cells = cells.withColumn("__q", q).withColumn("__near", near)
-    cells = cells.withColumn("__h", F.min(F.when(F.col("__near") >= F.col("__q"), F.col("__d"))).over(cell))
-    cells = cells.where(F.col("__d") < F.col("__h")).withColumn("__u", (F.col("__x") - F.col("__x0")) / F.col("__h"))
-    cells = cells.withColumn("__w", F.pow(1 - F.pow(F.abs("__u"), 3), 3))
-    u = [F.lit(1.0), F.col("__u")]
-    for _ in range(3):
-        u.append(u[-1] * F.col("__u"))
-    w, m, sy = F.col("__w"), F.col("__m"), F.col("__sy")
-    fits = cells.groupBy(*by, "__i", "__x0", "__n", "__lo", "__hi").agg(
-        F.count(F.lit(1)).alias("__k"),
-        *[F.sum(w * m * u[j]).alias(f"__s{j}") for j in range(5)],
-        *[F.sum(w * sy * u[j]).alias(f"__t{j}") for j in range(3)],
-        *[F.sum(w * w * m * u[j]).alias(f"__v{j}") for j in range(5)],
-    )
-    s, t = [F.col(f"__s{j}") for j in range(5)], [F.col(f"__t{j}") for j in range(3)]
-    v = [F.col(f"__v{j}") for j in range(5)]
-    fit, (a, b, c) = _solve_intercept(s, t)
-    norm = (
-        a * a * v[0] + 2 * a * b * v[1] + (b * b + 2 * a * c) * v[2] + 2 * b * c * v[3] + c * c * v[4]
-    )
-    enough = F.col("__k") >= 3
-    return fits.select(
-        *by,
-        "__i",
-        "__n",
-        "__lo",
-        "__hi",
-        F.col("__x0").alias("x"),
-        F.when(enough, fit).alias("y"),
-        F.when(enough, a).alias("__lev"),
-        F.when(enough, norm).alias("__norm"),
-    )
-
-
-def _t_quantile_975(df: Column) -> Column:
-    """97.5 % point of Student's t: tabled up to 6 degrees of freedom (interpolated in 1/df), above by its expansion in
-    1/df, which is then within 0.001; NULL without degrees of freedom, the value for 1 below 1."""
-    z = 1.959963984540054
-    g = (
-        (z**3 + z) / 4,
-        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
-        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
-        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
-    )
-    series = F.lit(z) + sum((c / F.pow(df, n) for n, c in enumerate(g, 1)), F.lit(0.0))
-    # 97.5 % points for few degrees of freedom, between which 1/df is interpolated.
-    points = {1: 12.706204736432095, 2: 4.302652729911275, 3: 3.182446305284263, 4: 2.7764451051977987}
-    points |= {5: 2.5705818366147395, 6: 2.4469118511449692}
-    out = F.when(df <= 0, F.lit(None)).when(df <= 1, F.lit(points[1]))
-    for n in range(1, 6):
-        part = (1 / df - 1 / (n + 1)) / (1 / n - 1 / (n + 1))
-        out = out.when(df <= n + 1, points[n + 1] + part * (points[n] - points[n + 1]))
-    return out.otherwise(series)
-
-
-def loess(
-    df: DataFrame,
-    x: str,
-    y: str,
-    by: Sequence[str] = (),
-    span: float = 0.75,
-    points: int = GRID_POINTS,
-    se: bool = False,
-) -> DataFrame:
-    """Locally weighted quadratic fit on an even grid → ``by, x, y``.
-
-    Tricube weights over the nearest ``floor(n·span)`` rows.  A place with
-    fewer than three distinct x in reach gives NULL or no row.  With ``se`` a
-    95 % band is added: the residual variance and the degrees of freedom are
-    taken from the grid fits, interpolated to the rows.
-    """
-    by = aslist(by)
-    collapsed = _collapsed(df, x, y, by)
-    fits = _local_fits(collapsed, by, span, points)
-    if not se:
-        return fits.select(*by, "x", "y")
-    step = (F.col("__hi") - F.col("__lo")) / (points - 1)
-    place = F.try_divide(F.col("__x") - F.col("__lo"), step)
-    cell = F.least(F.floor(place), F.lit(points - 2))
-    ends = F.array(
-        F.struct(cell.alias("__i"), (1 - (place - cell)).alias("__f")),
-        F.struct((cell + 1).alias("__i"), (place - cell).alias("__f")),
-    )
-    weighted = collapsed.select(*by, "__x", "__m", "__sy", "__syy", F.inline(ends))
-    values = fits.select(*by, F.col("__i").cast("bigint").alias("__i"), "y", "__lev", "__norm")
-    at_rows = (
-        join_on_keys(weighted, values, [*by, "__i"], null_safe=True)
-        .groupBy(*by, "__x", "__m", "__sy", "__syy")
-        .agg(*[F.sum(F.col("__f") * F.col(c)).alias(o) for c, o in (("y", "__fit"), ("__lev", "__l"), ("__norm", "__l2"))])
-    )
-    rss = F.col("__syy") - 2 * F.col("__fit") * F.col("__sy") + F.col("__m") * F.col("__fit") * F.col("__fit")
-    free = F.col("__m") * (1 - 2 * F.col("__l") + F.col("__l2"))
-    noise = at_rows.groupBy(*by).agg(F.sum(rss).alias("__rss"), F.sum(free).alias("__free"))
-    if by:
-        banded = join_on_keys(fits, noise, by, "left", null_safe=True)
-    else:
-        banded = fits.withColumn("__rss", noise.select("__rss").scalar()).withColumn(
-            "__free", noise.select("__free").scalar()
-        )
-    error = F.sqrt(F.try_divide(F.col("__rss"), F.col("__free")) * F.col("__norm"))
-    reach = error * _t_quantile_975(F.col("__free"))
-    return banded.select(*by, "x", "y", error.alias("se"), (F.col("y") - reach).alias("ymin"), (F.col("y") + reach).alias("ymax"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from wordloom.functions.text import percent_label
+from wordloom.operators.loess import loess
 from wordloom.operators.prefix import cumulative_pct
 from wordloom.operators.sentiment import comparison_scores, sentiment_counts
 from wordloom.operators.verbs import count_by, share, slice_max, top_n, zero_fill_totals
@@ -57,6 +58,13 @@ def sentiment_share(
     return share(_series(tokens, lex, excluded_volume, sentiments), "n", ["chapter"], "n2")
 
 
+def sentiment_share_smooth(
+    tokens: DataFrame, lex: DataFrame, excluded_volume: str, sentiments: Sequence[str] = SERIES, span: float = 0.75, se: bool = False
+) -> DataFrame:
+    """``sentiment_share`` smoothed over the chapters, a curve per sentiment."""
+    return loess(sentiment_share(tokens, lex, excluded_volume, sentiments), "chapter", "n2", ["sentiment"], span, se=se)
+
+
 def sentiment_weighted(
     tokens: DataFrame, lex: DataFrame, excluded_volume: str, sentiments: Sequence[str] = SERIES
 ) -> DataFrame:

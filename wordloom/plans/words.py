@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wordloom.operators.loess import loess
 from wordloom.operators.stats import boxplot_stats, histogram
 from wordloom.operators.tfidf import bind_tf_idf
 from wordloom.operators.tokens import split_ngram
@@ -62,6 +63,13 @@ def keyword_series(tokens: DataFrame, keywords: list[str], excluded_volume: str
     return count_by(kept, ["volume", "chapter", "word"])
 
 
+def keyword_smooth(
+    tokens: DataFrame, keywords: list[str], excluded_volume: str | None = None, span: float = 0.75, se: bool = True
+) -> DataFrame:
+    """``keyword_series`` smoothed over the chapters, a curve per word."""
+    return loess(keyword_series(tokens, keywords, excluded_volume), "chapter", "n", ["word"], span, se=se)
+
+
 def keyword_bigrams(bigrams: DataFrame, keyword: str, n: int = 8) -> DataFrame:
     """Most frequent bigrams with a word on either side."""
     pairs = split_ngram(bigrams.select("bigram"), "bigram", ["w1", "w2"])
