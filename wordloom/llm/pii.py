@@ -144,12 +144,17 @@ def occurrences(base: DataFrame) -> DataFrame:
 
 
 def context_totals(texts: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``context, total``: how often two words in the corpus are those of a context and any token follows."""
-    words = texts.select(F.regexp_extract_all(F.lower("pii_text"), F.lit(rf"[^{_SPACE}]+"), F.lit(0)).alias("w"))
-    pairs = words.where(F.size("w") > 2).select(
-        F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 2), F.slice("w", 2, F.size("w") - 2), lambda a, b: F.concat(a, F.lit(" "), b))).alias("context")
-    )
-    return pairs.join(contexts.select("context"), "context").groupBy("context").agg(F.count("*").alias("total"))
+    """``context, total``: how often two words in the corpus are those of a context and any token follows.
+
+    All pairs of words are counted by their 64-bit hash, in every task first, before they meet the contexts.
+    """
+    words = texts.select(F.regexp_extract_all(F.lower("pii_text"), F.lit(rf"[^{_SPACE}]+"), F.lit(0)).alias("w")).where(F.size("w") > 2)
+    heads, tails = F.slice("w", 1, F.size("w") - 2), F.slice("w", 2, F.size("w") - 2)
+    pairs = words.select(F.explode(F.zip_with(heads, tails, lambda a, b: F.xxhash64(a, b))).alias("pair"))
+    counts = pairs.groupBy("pair").agg(F.count("*").alias("total"))
+    both = F.split("context", " ")
+    keyed = contexts.select("context", F.xxhash64(F.get(both, F.lit(0)), F.get(both, F.lit(1))).alias("pair"))
+    return keyed.join(counts, "pair").select("context", "total")
 
 
 def discovered(edges: DataFrame, totals: DataFrame, support: int = SUPPORT, confidence: int = CONFIDENCE) -> DataFrame:
