@@ -76,6 +76,49 @@ def mds_norms(spark, d):
     return coords.groupBy("item").agg(F.round(F.sum(F.col("coord") * F.col("coord")), 5).alias("square"))
 
 
+def _axes_sql(scaled: bool, steps: int = 13) -> str:
+    """The first two axes by squaring the scatter ``steps`` times (a power step of 2^steps), the second after deflation."""
+    power = ""
+    for which in (1, 2):
+        start = "SELECT i, j, v / (SELECT sum(v) FROM scatter1 WHERE i = j) AS v FROM scatter1"
+        if which == 2:
+            power += f""",
+scatter2 AS MATERIALIZED (SELECT s.i, s.j, s.v - l.v * a.v * b.v AS v FROM scatter1 s JOIN axis1 a ON a.i = s.i JOIN axis1 b ON b.i = s.j, value1 l)"""
+            start = start.replace("scatter1", "scatter2")
+        power += f",\np{which}_0 AS MATERIALIZED ({start})"
+        for k in range(steps):
+            power += f""",
+q{which}_{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{which}_{k} a JOIN p{which}_{k} b ON a.j = b.i GROUP BY a.i, b.j),
+p{which}_{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM q{which}_{k} WHERE i = j) AS v FROM q{which}_{k})"""
+        power += f""",
+column{which} AS (SELECT arg_max(i, v) AS j FROM p{which}_{steps} WHERE i = j),
+raw{which} AS (SELECT p.i, p.v FROM p{which}_{steps} p JOIN column{which} USING (j)),
+axis{which} AS MATERIALIZED (
+  SELECT i, v / (SELECT sqrt(sum(v * v)) FROM raw{which}) * (SELECT sign(arg_max(v, abs(v))) FROM raw{which}) AS v FROM raw{which}),
+value{which} AS (SELECT sum(a.v * s.v * b.v) AS v FROM scatter1 s JOIN axis{which} a ON a.i = s.i JOIN axis{which} b ON b.i = s.j)"""
+    unit = "stddev_pop(x)" if scaled else "1.0"
+    return f"""WITH {_CELL_SQL}, mid AS (SELECT col, avg(x) AS m, {unit} AS s FROM cell GROUP BY col),
+z AS MATERIALIZED (SELECT item, col, (x - m) / s AS z FROM cell JOIN mid USING (col)),
+scatter1 AS MATERIALIZED (SELECT a.col AS i, b.col AS j, sum(a.z * b.z) AS v FROM z a JOIN z b USING (item) GROUP BY a.col, b.col){power},
+axis AS (SELECT 1 AS comp, i, v FROM axis1 UNION ALL SELECT 2, i, v FROM axis2)"""
+
+
+_SCORES_SQL = """
+SELECT item, comp AS {0}, round(sum(z * v), 4) AS {1} FROM z JOIN axis ON i = col GROUP BY item, comp"""
+
+
+@query("pca_given", _axes_sql(True) + _SCORES_SQL.format("comp", "score"))
+def pca_given(spark, d):
+    """Two of 64 components, so that the iterative way is taken."""
+    scores, _ = mx.pca(embedding_cells(spark, d), "item", "col", "x", k=2, tol=1e-11)
+    return rounded(scores, "score", digits=4)
+
+
+@query("mds_given", _axes_sql(False) + _SCORES_SQL.format("dim", "coord"))
+def mds_given(spark, d):
+    return rounded(mx.mds(embedding_cells(spark, d), "item", "col", "x", k=2, tol=1e-11), "coord", digits=4)
+
+
 @query(
     "cluster_discriminant_given",
     """WITH p AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),

@@ -250,3 +250,47 @@ def test_ward_tree_of_a_tied_grid_and_of_one_row(spark):
     one, _ = long(spark, x[:1])
     merges, leaves = cluster.hclust_ward(one, "item", "col", "x")
     assert merges.count() == 0 and leaves.count() == 1
+
+
+def test_lanczos_on_a_flat_spectrum():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 300))
+    a = x.T @ x
+    for most, k in ((10_000, 2), (60, 2), (10_000, 5)):
+        passes = []
+
+        def times(block):
+            passes.append(block.shape[1])
+            return a @ block
+
+        values, vectors = mx.block_lanczos(times, 300, k, 100 if most == 60 else 40, 1e-7, most)
+        np.testing.assert_allclose(values, np.linalg.eigvalsh(a)[::-1][:k], rtol=1e-9)
+        assert np.linalg.norm(a @ vectors - vectors * values, axis=0).max() <= 1.01e-7 * values[0]
+        assert len(passes) < (100 if most == 60 else 40)
+
+
+def test_lanczos_raises_instead_of_returning_what_is_not_proven():
+    a = np.diag(np.linspace(1, 1.01, 400))
+    with pytest.raises(RuntimeError, match="residual"):
+        mx.block_lanczos(lambda b: a @ b, 400, 2, 5, 1e-12, 10_000)
+    values, _ = mx.block_lanczos(lambda b: np.zeros_like(b), 30, 2, 5, 1e-12, 100)
+    assert not values.any()
+
+
+def test_components_refuse_what_the_driver_cannot_hold(spark):
+    rows = spark.createDataFrame([(1, [0], [1.0])], "item long, idx array<int>, val array<double>")
+    with pytest.raises(ValueError, match="driver"):
+        mx.principal_axes(rows, 1, np.zeros(10_000), np.ones(10_000), 2, driver_bytes=1 << 20)
+
+
+def test_scores_of_rows_without_cells(spark):
+    cells = spark.createDataFrame([(1, "a", 2.0), (2, "a", 1.0), (2, "b", 5.0)], "item long, col string, x double")
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "item long")
+    scores, loadings = mx.pca(cells, "item", "col", "x", k=2, scale=False, rows=rows)
+    got = np.zeros((3, 2))
+    for r in scores.collect():
+        got[r["item"] - 1, r["comp"] - 1] = r["score"]
+    x = np.array([[2.0, 0], [1, 5], [0, 0]])
+    x -= x.mean(0)
+    np.testing.assert_allclose(got @ got.T, x @ x.T, atol=1e-9)
+    assert loadings.count() == 4

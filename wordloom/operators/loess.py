@@ -25,7 +25,8 @@ from wordloom.session import checkpoint
 
 GRID_POINTS = 80
 BINS, FINE = 4096, 256
-POWERS, CROSS = 22, 11  # degrees: squared weight (18) times u^4; weight (9) times u^2
+# Degrees: squared weight (18) times u^4, weight (9) times u^4, weight times u^2.
+POWERS, FIT_POWERS, CROSS = 22, 13, 11
 
 
 def _attach(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
@@ -58,37 +59,21 @@ def _bin(left: Column, right: Column, bins: int) -> Column:
 
 def _narrowed(state: DataFrame, by: list[str]) -> DataFrame:
     """Bounds ``hl <= h <= hu`` of each grid point's bandwidth; ``open`` are the cells between them with several x."""
-    x0 = F.col("x0")
-
-    def nearest(c: Column) -> Column:
-        return F.when(c["a"] > x0, c["a"] - x0).when(c["b"] < x0, x0 - c["b"]).otherwise(0.0)
-
-    def farthest(c: Column) -> Column:
-        return F.greatest(F.abs(c["a"] - x0), F.abs(c["b"] - x0))
-
-    def kth(distance) -> Column:
-        pairs = F.array_sort(F.transform("cells", lambda c: F.struct(distance(c).alias("d"), c["n"].alias("n"))))
-        start = F.struct(F.col("base").alias("c"), F.lit(None).cast("double").alias("d"))
-        return F.aggregate(
-            pairs,
-            start,
-            lambda s, p: F.struct(
-                (s["c"] + p["n"]).alias("c"), F.when(s["d"].isNull() & (s["c"] + p["n"] >= F.col("q")), p["d"]).otherwise(s["d"]).alias("d")
-            ),
-            lambda s: s["d"],
-        )
+    nearest = "CASE WHEN c.a > x0 THEN c.a - x0 WHEN c.b < x0 THEN x0 - c.b ELSE 0D END"
+    farthest = "greatest(abs(c.a - x0), abs(c.b - x0))"
+
+    def kth(distance: str, known: str) -> Column:
+        pairs = f"array_sort(transform(cells, c -> struct({distance} AS d, c.n AS n)))"
+        start = "named_struct('c', base, 'd', CAST(NULL AS DOUBLE))"
+        step = "named_struct('c', s.c + p.n, 'd', CASE WHEN s.d IS NULL AND s.c + p.n >= q THEN p.d ELSE s.d END)"
+        return F.expr(f"coalesce(aggregate({pairs}, {start}, (s, p) -> {step}, s -> s.d), {known})")
 
     # What is decided has no cells left and keeps its bounds.
-    out = state.withColumns({"hl": F.coalesce(kth(nearest), "hl"), "hu": F.coalesce(kth(farthest), "hu")})
-    below = F.filter("cells", lambda c: farthest(c) < F.col("hl"))
-    between = F.filter("cells", lambda c: (nearest(c) <= F.col("hu")) & (farthest(c) >= F.col("hl")))
-    undecided = F.col("hl") < F.col("hu")
-    out = out.withColumn("base", F.col("base") + F.aggregate(below, F.lit(0).cast("bigint"), lambda s, c: s + c["n"]))
-    none = F.filter("cells", lambda c: F.lit(False))
-    several = F.filter(between, lambda c: nearest(c) < farthest(c))
-    single = F.filter(between, lambda c: nearest(c) >= farthest(c))
+    out = state.withColumns({"hl": kth(nearest, "hl"), "hu": kth(farthest, "hu")})
+    out = out.withColumn("base", F.expr(f"base + aggregate(filter(cells, c -> {farthest} < hl), 0L, (s, c) -> s + c.n)"))
+    between = f"filter(cells, c -> hl < hu AND {nearest} <= hu AND {farthest} >= hl AND {nearest} {{0}} {farthest})"
     return out.select(
-        *by, "__i", "x0", "q", "base", "hl", "hu", F.when(undecided, single).otherwise(none).alias("cells"), F.when(undecided, several).otherwise(none).alias("open")
+        *by, "__i", "x0", "q", "base", "hl", "hu", F.expr(between.format(">=")).alias("cells"), F.expr(between.format("<")).alias("open")
     )
 
 
@@ -124,14 +109,17 @@ def _bandwidths(rows: DataFrame, totals: DataFrame, by: list[str], span: float,
 # --- moments -----------------------------------------------------------------
 
 
-def _powers(v: Column, n: int) -> list[Column]:
-    out = [F.lit(1.0), v]
-    for k in range(2, n + 1):
-        out.append(out[k // 2] * out[k - k // 2])
-    return out
+def _with_powers(df: DataFrame, n: int) -> DataFrame:
+    """``p0 .. pn``, the powers of ``p1``, each from two lower ones."""
+    df, top = df.withColumn("p0", F.lit(1.0)), 1
+    while top < n:
+        more = range(top + 1, min(2 * top, n) + 1)
+        df = df.withColumns({f"p{k}": F.expr(f"p{top} * p{k - top}") for k in more})
+        top = more[-1]
+    return df
 
 
-def _segments(rows: DataFrame, totals: DataFrame, widths: DataFrame, by: list[str]) -> DataFrame:
+def _segments(rows: DataFrame, totals: DataFrame, widths: DataFrame, by: list[str], powers: int) -> DataFrame:
     """Sums of powers between neighbouring edges: ``by, c`` (middle)``, s`` (half width)``, v, w`` (with y)``, yy, a, b``."""
     marks = widths.select(*by, F.explode(F.array(F.col("x0"), F.col("x0") - F.col("hl"), F.col("x0") + F.col("hl"))).alias("e"))
     marks = _attach(marks, totals.select(*by, "__lo", "__hi"), by).where((F.col("e") >= F.col("__lo")) & (F.col("e") <= F.col("__hi")))
@@ -146,35 +134,29 @@ def _segments(rows: DataFrame, totals: DataFrame, widths: DataFrame, by: list[st
     right = F.coalesce(F.get("__edges", F.col("__at")), left)
     placed = placed.withColumn("c", (left + right) / 2).withColumn("s", (right - left) / 2)
     v = F.when(F.col("s") > 0, (F.col("__x") - F.col("c")) / F.col("s")).otherwise(0.0)
-    placed = placed.select(*by, "__at", "c", "s", "__x", (F.col("__y") - F.col("__mean")).alias("__y"), v.alias("__v"))
-    p = _powers(F.col("__v"), POWERS)
-    sums = placed.groupBy(*by, "__at", "c", "s").agg(
-        *[F.sum(p[k]).alias(f"v{k}") for k in range(POWERS + 1)],
-        *[F.sum(p[k] * F.col("__y")).alias(f"w{k}") for k in range(CROSS + 1)],
-        F.sum(F.col("__y") * F.col("__y")).alias("yy"),
+    placed = placed.select(*by, "__at", "c", "s", "__x", (F.col("__y") - F.col("__mean")).alias("__y"), v.alias("p1"))
+    sums = _with_powers(placed, powers).groupBy(*by, "__at", "c", "s").agg(
+        F.expr(f"array({', '.join(f'sum(p{k})' for k in range(powers + 1))})").alias("v"),
+        F.expr(f"array({', '.join(f'sum(p{k} * __y)' for k in range(CROSS + 1))})").alias("w"),
+        F.expr("sum(__y * __y)").alias("yy"),
         F.min("__x").alias("a"),
         F.max("__x").alias("b"),
     )
-    v, w = (F.array(*[F.col(f"{name}{k}") for k in range(n + 1)]) for name, n in (("v", POWERS), ("w", CROSS)))
-    return sums.select(*by, "c", "s", v.alias("v"), w.alias("w"), "yy", "a", "b")
+    return sums.drop("__at")
 
 
-def _shifted(sums: Column, n: int) -> Column:
+def _shifted(sums: str, n: int) -> Column:
     """Sums of (shift + scale * v)^p for p = 0..n from the sums of v^p; columns ``shift`` and ``scale`` add up to 1 at most."""
-    start = F.struct(sums.alias("t"), F.slice(sums, 1, 1).alias("u"))
-
-    def step(state: Column, _: Column) -> Column:
-        t = state["t"]
-        moved = F.zip_with(t, F.slice(t, 2, n), lambda x, y: F.col("__shift") * x + F.col("__scale") * F.coalesce(y, F.lit(0.0)))
-        return F.struct(moved.alias("t"), F.concat(state["u"], F.slice(moved, 1, 1)).alias("u"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step, lambda state: state["u"])
+    moved = "zip_with(slice(s.t, 1, size(s.t) - 1), slice(s.t, 2, size(s.t) - 1), (x, y) -> __shift * x + __scale * y)"
+    first = "concat(s.u, array(__shift * s.t[0] + __scale * s.t[1]))"
+    start = f"named_struct('t', {sums}, 'u', slice({sums}, 1, 1))"
+    return F.expr(f"aggregate(sequence(1, {n}), {start}, (s, i) -> named_struct('t', {moved}, 'u', {first}), s -> s.u)")
 
 
-def _tricube(u: Column, j: int, power: int) -> Column:
+def _tricube(u: str, j: int, power: int) -> Column:
     """Sum of (1 - |u|^3)^power * u^j from the sums of the powers of u, all of one sign ``__side``."""
-    terms = [comb(power, k) * (-1) ** k * F.get(u, F.lit(3 * k + j)) * (F.col("__side") if k % 2 else 1) for k in range(power + 1)]
-    return sum(terms[1:], terms[0])
+    terms = [f"{comb(power, k) * (-1) ** k} * {u}[{3 * k + j}]" + (" * __side" if k % 2 else "") for k in range(power + 1)]
+    return F.expr(" + ".join(terms))
 
 
 def _solve_intercept(s: list[Column], t: list[Column]) -> tuple[Column, list[Column]]:
@@ -188,16 +170,17 @@ def _solve_intercept(s: list[Column], t: list[Column]) -> tuple[Column, list[Col
     return row[0] * t[0] + row[1] * t[1] + row[2] * t[2], row
 
 
-def _fits(segments: DataFrame, widths: DataFrame, by: list[str]) -> DataFrame:
+def _fits(segments: DataFrame, widths: DataFrame, by: list[str], powers: int) -> DataFrame:
     """``by, __i, x, y`` (less the mean)``, __lev, __norm``: the fit, the weight a point at the grid value gives itself, and
     the sum of the squared weights of all points."""
     listed = segments.groupBy(*by).agg(F.collect_list(F.struct("c", "s", "v", "w", "a", "b")).alias("__segments"))
     near = F.filter("__segments", lambda g: F.abs(g["c"] - F.col("x0")) < F.col("hl"))
-    pairs = _attach(widths.where("hl > 0"), listed, by).select(*by, "__i", "x0", "hl", F.inline(near))
+    # The pairs of a group are dealt by grid point before they are made.
+    pairs = _attach(widths.where("hl > 0"), listed, by).repartition(*by, "__i").select(*by, "__i", "x0", "hl", F.inline(near))
     offset = F.col("c") - F.col("x0")
     pairs = pairs.withColumn("__shift", offset / F.col("hl")).withColumn("__scale", F.col("s") / F.col("hl"))
     pairs = pairs.withColumn("__side", F.when(offset >= 0, 1.0).otherwise(-1.0))
-    pairs = pairs.withColumn("u", _shifted(F.col("v"), POWERS)).withColumn("z", _shifted(F.col("w"), CROSS))
+    pairs = pairs.withColumns({"u": _shifted("v", powers), "z": _shifted("w", CROSS)})
     # Other x than the segment's ends: then its points do not all lie on its ends.
     low, high = ((F.col(e) - F.col("c")) / F.col("s") for e in ("a", "b"))
     v = [F.get("v", F.lit(k)) for k in range(3)]
@@ -206,9 +189,9 @@ def _fits(segments: DataFrame, widths: DataFrame, by: list[str]) -> DataFrame:
     fits = pairs.groupBy(*by, "__i", "x0").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set(ends)))).alias("__k"),
         F.max(inner).alias("__inner"),
-        *[F.sum(_tricube(F.col("u"), j, 3)).alias(f"s{j}") for j in range(5)],
-        *[F.sum(_tricube(F.col("z"), j, 3)).alias(f"t{j}") for j in range(3)],
-        *[F.sum(_tricube(F.col("u"), j, 6)).alias(f"n{j}") for j in range(5)],
+        *[F.sum(_tricube("u", j, 3)).alias(f"s{j}") for j in range(5)],
+        *[F.sum(_tricube("z", j, 3)).alias(f"t{j}") for j in range(3)],
+        *[(F.sum(_tricube("u", j, 6)) if powers == POWERS else F.lit(None).cast("double")).alias(f"n{j}") for j in range(5)],
     )
     s, t, n = ([F.col(f"{name}{j}") for j in range(k)] for name, k in (("s", 5), ("t", 3), ("n", 5)))
     fit, (a, b, c) = _solve_intercept(s, t)
@@ -290,10 +273,11 @@ def loess(
     )
     totals = checkpoint(totals.where("__n > 0"))
     widths = _bandwidths(rows, totals, by, span, points)
-    segments = _segments(rows, totals, widths, by)
+    powers = POWERS if se else FIT_POWERS
+    segments = _segments(rows, totals, widths, by, powers)
     if se:
         segments = checkpoint(segments)
-    fits = _fits(segments, widths, by)
+    fits = _fits(segments, widths, by, powers)
     if se:
         fits = checkpoint(fits)
     out = _attach(fits, totals.select(*by, "__mean"), by).withColumn("y", F.col("y") + F.col("__mean"))

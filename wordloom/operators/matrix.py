@@ -16,6 +16,7 @@ from wordloom.operators.dtm import row_arrays, vocabulary
 from wordloom.session import checkpoint
 
 BLOCK = 512
+DRIVER_BYTES = 1 << 30  # of a basis and its images while components are sought
 
 
 def row_vectors(matrix: DataFrame, row: str, col: str, value: str, rows: DataFrame | None = None) -> DataFrame:
@@ -102,31 +103,30 @@ def _column_moments(arrays: DataFrame, columns: int) -> tuple[int, np.ndarray, n
 
 
 def _rows_times(shared, idx, val) -> np.ndarray:
-    """Sparse rows times the shared matrix → rows × k."""
+    """Sparse rows, none of them empty, times the shared matrix → rows × k."""
     sizes = np.fromiter((len(i) for i in idx), np.int64, len(idx))
-    out = np.zeros((len(idx), shared.shape[1]))
-    if sizes.sum():
-        terms = shared[np.concatenate(list(idx))] * np.concatenate(list(val))[:, None]
-        np.add.at(out, np.repeat(np.arange(len(idx)), sizes), terms)
-    return out
+    terms = shared[np.concatenate(list(idx))] * np.concatenate(list(val))[:, None]
+    return np.add.reduceat(terms, np.cumsum(sizes) - sizes, axis=0)
 
 
 def _gram_times(arrays: DataFrame, basis: np.ndarray) -> np.ndarray:
     """``XᵀX·basis`` for sparse rows ``X``: each task sums its own part, columns × k numbers reach the driver."""
     spark = arrays.sparkSession
-    k = basis.shape[1]
-    shared = spark.sparkContext.broadcast(basis)  # columns × k numbers, as on the driver
+    columns, k = basis.shape
+    shared = spark.sparkContext.broadcast(basis)  # within the limit that principal_axes checks
     names = [f"v{j}" for j in range(k)]
 
     def part(frames):
-        total = np.zeros(shared.value.shape)
+        total = np.zeros((columns, k))
         for pdf in frames:
             seen = pdf[pdf["idx"].map(len) > 0]
-            if len(seen):
-                weights = _rows_times(shared.value, seen["idx"], seen["val"])
-                sizes = seen["idx"].map(len).to_numpy()
-                terms = np.repeat(weights, sizes, axis=0) * np.concatenate(list(seen["val"]))[:, None]
-                np.add.at(total, np.concatenate(list(seen["idx"])), terms)
+            for start in range(0, len(seen), 4096):
+                rows = seen.iloc[start : start + 4096]
+                at = np.concatenate(list(rows["idx"]))
+                weights = np.repeat(_rows_times(shared.value, rows["idx"], rows["val"]), rows["idx"].map(len).to_numpy(), axis=0)
+                weights *= np.concatenate(list(rows["val"]))[:, None]
+                for j in range(k):
+                    total[:, j] += np.bincount(at, weights[:, j], columns)
         used = np.flatnonzero(total.any(1))
         yield pd.DataFrame(total[used], columns=names).assign(idx=used.astype("int32"))[["idx", *names]]
 
@@ -138,89 +138,141 @@ def _gram_times(arrays: DataFrame, basis: np.ndarray) -> np.ndarray:
     return out
 
 
+def _orthonormal(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of what the block adds to the basis (two passes; directions lost in rounding are dropped)."""
+    size = np.linalg.norm(block, axis=0)
+    block = block[:, size > 0] / size[size > 0]
+    for _ in range(2):
+        block = block - basis @ (basis.T @ block)
+    q, r = np.linalg.qr(block)
+    q = q[:, np.abs(np.diag(r)) > 1e-10]
+    q = q - basis @ (basis.T @ q)
+    return q / np.maximum(np.linalg.norm(q, axis=0), 1e-300)
+
+
+def block_lanczos(times, columns: int, k: int, max_iter: int, tol: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest ``k`` eigenvalues and vectors of a symmetric operator, ``times(block)`` being one pass over the data.
+
+    Block Lanczos: the residuals of the Ritz vectors are the next block, the whole basis and its images are kept and
+    reorthogonalised, and at ``most`` vectors it restarts from the best ones (thick restart).  It stops when the residual of
+    each wanted pair is at most ``tol`` times the first value, which bounds the distance of each value from an eigenvalue; more
+    vectors than wanted are carried, so that a close next value (a small gap) shows and does not hold up the wanted ones.
+    RuntimeError if ``max_iter`` passes don't reach that.
+    """
+    block = min(columns, k + 8)
+    basis = np.linalg.qr(np.random.default_rng(1).normal(size=(columns, block)))[0]
+    image, passes = times(basis), 1
+    while True:
+        values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        vectors, images = basis @ turn[:, :block], image @ turn[:, :block]
+        rest = images - vectors * values[:block]
+        residual = np.linalg.norm(rest[:, :k], axis=0).max(initial=0.0)
+        more = _orthonormal(rest, basis)
+        if residual <= tol * max(values[0], 1e-300) or not more.shape[1] or basis.shape[1] >= columns:
+            return values[:k], vectors[:, :k]
+        if passes >= max_iter:
+            raise RuntimeError(f"components not found in {max_iter} passes: residual {residual:.3g}, largest value {values[0]:.3g}, next values {values[:block]}")
+        if basis.shape[1] + more.shape[1] > max(most, 3 * block):
+            keep = min(2 * block, basis.shape[1])
+            basis, image = basis @ turn[:, :keep], image @ turn[:, :keep]
+            more = _orthonormal(rest, basis)
+        basis, image, passes = np.hstack([basis, more]), np.hstack([image, times(more)]), passes + 1
+
+
 def principal_axes(
-    arrays: DataFrame, n: int, mean: np.ndarray, inverse: np.ndarray, k: int, max_iter: int = 100, tol: float = 1e-7
+    arrays: DataFrame,
+    n: int,
+    mean: np.ndarray,
+    inverse: np.ndarray,
+    k: int,
+    max_iter: int = 100,
+    tol: float = 1e-7,
+    driver_bytes: int = DRIVER_BYTES,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Largest ``k`` eigenvalues and vectors of the scatter of ``(x - mean) * inverse`` by block subspace iteration.
+    """Largest ``k`` eigenvalues and vectors of the scatter of ``(x - mean) * inverse``, proven by their residuals.
 
-    The mean is subtracted implicitly, so rows stay sparse, and no columns × columns matrix is formed.  A few more
-    vectors than asked for speed up convergence; it ends when all residuals are below ``tol`` times the first value.
+    The mean is subtracted implicitly, so rows stay sparse, and no columns × columns matrix is formed.  The basis on the
+    driver is kept within ``driver_bytes``; if not even three blocks fit, it is refused (ValueError): prune columns first.
+    RuntimeError if ``max_iter`` passes don't bring the residuals below ``tol`` times the first value.
     """
     columns = len(mean)
-    basis = np.linalg.qr(np.random.default_rng(1).normal(size=(columns, min(k + 8, columns))))[0]
-    for _ in range(max_iter):
-        scaled = basis * inverse[:, None]
-        image = (_gram_times(arrays, scaled) - n * np.outer(mean, mean @ scaled)) * inverse[:, None]
-        values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
-        turn, values = turn[:, ::-1], values[::-1]
-        vectors, image = basis @ turn, image @ turn
-        residual = np.linalg.norm(image[:, :k] - vectors[:, :k] * values[:k], axis=0)
-        if columns == basis.shape[1] or residual.max() <= tol * max(values[0], 1e-300):
-            break
-        basis = np.linalg.qr(image)[0]
-    return np.maximum(values[:k], 0.0), vectors[:, :k]
+    most = driver_bytes // (16 * max(columns, 1))
+    if most < min(columns, 3 * (k + 8)):
+        raise ValueError(f"{columns} columns: {k} components need more than {driver_bytes} bytes on the driver")
+
+    def times(block: np.ndarray) -> np.ndarray:
+        scaled = block * inverse[:, None]
+        return (_gram_times(arrays, scaled) - n * np.outer(mean, mean @ scaled)) * inverse[:, None]
+
+    values, vectors = block_lanczos(times, columns, k, max_iter, tol, most)
+    return np.maximum(values, 0.0), vectors
 
 
 def pca(
-    matrix: DataFrame, row: str, col: str, value: str, k: int = 2, scale: bool = True, rows: DataFrame | None = None
+    matrix: DataFrame,
+    row: str,
+    col: str,
+    value: str,
+    k: int = 2,
+    scale: bool = True,
+    rows: DataFrame | None = None,
+    max_iter: int = 100,
+    tol: float = 1e-7,
 ) -> tuple[DataFrame, DataFrame]:
     """``(scores, loadings)`` of the principal components of a long matrix.
 
     Absent cells are zeros.  ``scale`` divides by the population deviation (constant columns take no part).
-    Each component points to its largest loading.  The driver holds columns × (k + 8) numbers.
-    Scores: ``row, comp, score``; loadings: ``col, comp, loading, explained``.
+    Each component points to its largest loading.  ``max_iter`` and ``tol`` as in ``principal_axes``, which raises
+    when they are not met.  Scores: ``row, comp, score``; loadings: ``col, comp, loading, explained``.
     """
     spark = matrix.sparkSession
     matrix = checkpoint(matrix.select(row, col, value))
     vocab = checkpoint(vocabulary(matrix, col))
     columns = vocab.count()
-    kind = dict(matrix.dtypes)[row]
     arrays = checkpoint(row_arrays(matrix, row, col, value, vocab, rows))
     n, mean, variance = _column_moments(arrays, columns)
     deviation = np.sqrt(variance) if scale else np.ones(columns)
     inverse = np.divide(1.0, deviation, out=np.zeros(columns), where=deviation > 0)
-    values, axes = principal_axes(arrays, n, mean, inverse, min(k, columns))
+    values, axes = principal_axes(arrays, n, mean, inverse, min(k, columns), max_iter, tol)
     axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
     explained = values / max(float((n * variance * inverse * inverse).sum()), 1e-300)
-
-    shared = spark.sparkContext.broadcast(axes * inverse[:, None])
-    centre = mean @ shared.value
-
-    def project(frames):
-        for pdf in frames:
-            scores = _rows_times(shared.value, pdf["idx"], pdf["val"]) - centre
-            wide = scores.shape[1]
-            yield pd.DataFrame(
-                {
-                    row: pdf[row].repeat(wide).to_numpy(),
-                    "comp": np.tile(np.arange(1, wide + 1, dtype="int32"), len(pdf)),
-                    "score": scores.ravel(),
-                }
-            )
-
-    scores = arrays.mapInPandas(project, f"`{row}` {kind}, comp int, score double")
     wide = axes.shape[1]
-    cells = pd.DataFrame(
-        {
-            "idx": np.repeat(np.arange(columns, dtype="int32"), wide),
-            "comp": np.tile(np.arange(1, wide + 1, dtype="int32"), columns),
-            "loading": axes.ravel(),
-            "explained": np.tile(explained, columns),
-        }
-    )
-    table = spark.createDataFrame(cells, "idx int, comp int, loading double, explained double")
-    return scores, table.join(vocab, "idx").select(col, "comp", "loading", "explained")
+    names = [f"__a{j}" for j in range(wide)]
+    scaled = axes * inverse[:, None]
+    weights = pd.DataFrame(np.hstack([scaled, axes]), columns=[*names, *[f"__l{j}" for j in range(wide)]])
+    weights.insert(0, "idx", np.arange(columns, dtype="int32"))
+    table = checkpoint(spark.createDataFrame(weights).withColumn("idx", F.col("idx").cast("int")))
+
+    centre = mean @ scaled
+    cells = arrays.select(row, F.expr("inline_outer(arrays_zip(idx, val))"))
+    sums = cells.join(table.select("idx", *names), "idx", "left").groupBy(row)
+    sums = sums.agg(*[(F.coalesce(F.sum(F.col("val") * F.col(a)), F.lit(0.0)) - float(c)).alias(a) for a, c in zip(names, centre, strict=True)])
+    parts = [F.struct(F.lit(j + 1).alias("comp"), F.col(a).alias("score")) for j, a in enumerate(names)]
+    scores = sums.select(row, F.inline(F.array(*parts)))
+    parts = [
+        F.struct(F.lit(j + 1).alias("comp"), F.col(f"__l{j}").alias("loading"), F.lit(float(explained[j])).alias("explained"))
+        for j in range(wide)
+    ]
+    return scores, table.join(vocab, "idx").select(col, F.inline(F.array(*parts)))
 
 
 def mds(
-    matrix: DataFrame, row: str, col: str, value: str, k: int = 2, rows: DataFrame | None = None
+    matrix: DataFrame,
+    row: str,
+    col: str,
+    value: str,
+    k: int = 2,
+    rows: DataFrame | None = None,
+    max_iter: int = 100,
+    tol: float = 1e-7,
 ) -> DataFrame:
     """Classical scaling of Euclidean distances → ``row, dim, coord``.
 
     The coordinates are the scores of centred, unscaled components, so the
     distances themselves are never formed.
     """
-    scores, _ = pca(matrix, row, col, value, k, scale=False, rows=rows)
+    scores, _ = pca(matrix, row, col, value, k, False, rows, max_iter, tol)
     return scores.select(row, F.col("comp").alias("dim"), F.col("score").alias("coord"))
 
 
