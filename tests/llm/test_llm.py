@@ -274,13 +274,35 @@ def test_compact_windows():
     rng = np.random.default_rng(2)
     for n in (0, 3, 30, 60):
         v = rng.integers(0, 40, n, dtype=np.uint64)
-        windows = compact_windows(v, 6)
+        windows = compact_windows(v, 6)[:, 1:].tolist()
         for i in range(n):
             for j in range(i + 5, n):
                 c = i + int(v[i : j + 1].argmin())
                 assert (v[c], 1) == (v[c], sum(a <= i <= m <= j <= b and v[m] == v[c] for a, m, b in windows))
 
 
+def test_compact_windows_of_many_texts():
+    from wordloom.llm.passages import compact_windows
+
+    def nodes(v, width):
+        out, todo = [], [(0, len(v))]
+        while todo:
+            a, b = todo.pop()
+            if b - a >= width:
+                c = a + int(v[a:b].argmin())
+                out.append((a, c, b - 1))
+                todo += [(a, c), (c + 1, b)]
+        return out
+
+    rng = np.random.default_rng(12)
+    for values in (3, 50, 10**9):
+        sizes = rng.integers(0, 90, 60)
+        off = np.concatenate([[0], np.cumsum(sizes)])
+        v = rng.integers(0, values, off[-1], dtype=np.uint64)
+        want = sorted((k, *node) for k in range(60) for node in nodes(v[off[k] : off[k + 1]], 7))
+        assert sorted(map(tuple, compact_windows(v, 7, off).tolist())) == want
+
+
 def test_passages(docs, none):
     from wordloom.llm.passages import repeated_passages, without_repeats
 
@@ -434,6 +456,56 @@ def test_queries_and_pipeline(spark):
     assert known["pipeline"](spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<body><article style="overflow:hidden"><p>Text {n}</p></article>', "Text {n}"),
+        ('<body class="no-sidebar"><article><p>Text {n}</p></article></body>', "Text {n}"),
+        ('<body><div class="layout with-sidebar"><article><p>Text {n}</p></article><div class="sidebar">side {n}</div></div>', "Text {n}"),
+        ('<body><article class="post tag-search category-social"><p>Text {n}</p><p id="share-of-wallet">Share {n}</p></article>', "Text {n}\n\nShare {n}"),
+        ('<body><article><svg class="x"/><p>Text {n}</p><svg><title>no</title></svg>end {n}</article>', "Text {n}\n\nend {n}"),
+        ('<body><article><template-card>Text {n}</template-card><title-x>T{n}</title-x></article>', "Text {n}T{n}"),
+        ('<body><div class="search">All of the long text of page {n} stands here</div><p>x{n}</p></body>', "All of the long text of page {n} stands here\n\nx{n}"),
+        ('<body><article><p hidden>no {n}</p><p data-x="hidden">yes {n}</p><div class="cookie-note">no</div></article>', "yes {n}"),
+        ('<body><div class=c><h1>Title {n}</h1><div class=t><p>Long text {n} and more</p></div></div></body>', "Title {n}\n\nLong text {n} and more"),
+        ('<body><div class=a><p>{n} first sixty per cent of it all</p></div><div class=b><p>{n} and the rest</p></div></body>', "{n} first sixty per cent of it all\n\n{n} and the rest"),
+        ('<body><article><p>Text of page number {n} which is long enough to matter here</p><p>Read more on our site</p></article>', "Text of page number {n} which is long enough to matter here"),
+        ('<body><div class=top><ul><li><a href=x>Home</a><li><a href=y>News {n}</a></ul></div><div class=t><p>Text {n} is here and long</p></div>', "Text {n} is here and long"),
+    ],
+)
+def test_html_layouts(spark, page, want):
+    """Ten pages of a host, a menu and a footer around each layout."""
+    from wordloom.llm.html_text import main_texts
+
+    made = page.replace("</body>", "") + "<footer>us {n}</footer></body>"
+    rows = [(n, f"https://a.org/{n}", made.replace("{n}", str(n)), "x") for n in range(10)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, template string").repartition(2)
+    assert {r.page_id: r.text for r in main_texts(frame).collect()} == {n: want.replace("{n}", str(n)) for n in range(10)}
+
+
+def test_html_of_random_templates(spark):
+    """Hosts with and without article, one to three containers, menus and repeated text, against the planted article."""
+    from wordloom.llm.html_text import main_texts
+
+    r, rows, want = random.Random(21), [], {}
+    for host in range(12):
+        name = r.choice(["article", "main", "div"])
+        boxes = [f'<{name if name == "div" else "section"} class="{r.choice("pqrstu")}{b}">' for b in range(r.randint(1, 3))]
+        menu = "".join(f'<li><a href="/{k}">{sentence(1)}</a>' for k in range(5))
+        repeated = sentence(6)
+        for n in range(r.randint(8, 15)):
+            parts = [[f"{sentence(r.randint(20, 40))} {n}" for _ in range(r.randint(1, 4))] for _ in boxes]
+            inner = "".join(box + "".join(f"<p>{x}</p>" for x in part) + "</" + box[1:].split(" ")[0] + ">" for box, part in zip(boxes, parts))
+            end = f"<p>{repeated}</p>"
+            core = f"<{name}>{inner}{end}</{name}>"
+            html = f"<html><body><div class=m><ul>{menu}</ul></div><header>{sentence(3)}</header>{core}<div class=site-footer>{sentence(5)}</div></body></html>"
+            want[len(rows)] = "\n\n".join(x for part in parts for x in part)
+            rows.append((len(rows), f"http://h{host}.org/{n}", html))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {x.page_id: x.text for x in main_texts(frame).collect()}
+    assert got == want
+
+
 def test_html_without_article_uses_the_template():
     from wordloom.llm.html_text import Page, deduce
 
