@@ -1,25 +1,32 @@
 """Main text of web pages by deducing each host's template from token equivalence classes.
 
-Tokens are the opening tags of a page, told apart by their path (names with class and id, digits left out).  A token's
-occurrence vector lists how often it occurs on each page of its host.  Tokens with the same vector form a class:
+Tokens are the opening tags of a page, told apart by their path (names with class and id, digits left out), and its runs of
+text.  A token's occurrence vector lists how often it occurs on each page of its host.  Tokens with the same vector form a
+class:
 
 1. One pass sums, per host and token, pages, occurrences, characters of text and of link text directly inside, and a
    fingerprint of the occurrence vector (the sum of counts times page hashes).  Sums are taken per batch before they are
    shuffled, so a host with a third of all pages is a few rows per batch.
-2. Tokens on at least half of a host's pages are grouped by fingerprint.  A class is valid if its tokens share one innermost
+2. Tags on at least half of a host's pages are grouped by fingerprint.  A class is valid if its tokens share one innermost
    enclosing token outside the class; valid classes are nested under the class of that token.  Classes that occur once
    per page are the template's frame, the others (list items, paragraphs) are repeated content of a slot.
-3. The slot with the main text is the frame's article or main element if it has one, otherwise the innermost token that
-   still holds more than half of the text outside links and outside excluded parts.
-4. A second pass reads each page with its host's template and returns the text of that slot.  A page without the slot
-   uses its own article or main element, and without one its body.
+3. What the template holds besides its slots goes: runs of text of the class that is on every page of the host (of
+   ``MANY_PAGES`` pages or more; on a page they make up at most a third of the text, else they stay), and subtrees of frame
+   tokens that are nearly all link text.
+4. The main region is the frame's article or main element if it has one, otherwise the innermost token outside of which the
+   template has next to no text but links.  All slots of the region are returned in page order.
+5. A second pass reads each page with its host's template.  A page without the region uses its own article or main
+   element, and without one its body.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles are left out wherever they
-stand, by element name, role, or the words of class and id.
+stand, by element name, role, or the class and id: whole names, or names of two parts one of which says so.  Names decide only
+where the template leaves it open: never for html, body, main, article, headings and paragraphs, nor for an element that
+holds most of its page's text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -33,16 +40,17 @@ from wordloom.llm.common import map_batches, mix, pinned
 
 BROADCAST_BYTES = 32 << 20
 SALTS = 16
+MANY_PAGES = 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|noscript|iframe|template|svg|object|select)\b(?P<rawattrs>[^>]*)>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>"
+    r"|<(?P<raw>script|style|title|textarea|noscript|iframe|template|svg|object|select)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACE = re.compile(r"\s+")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set(
@@ -59,19 +67,31 @@ _LEFT_OUT_WORDS = set(
 )
 
 
-def _attributes(text: str) -> tuple[str, bool]:
-    """Label of class and id, and whether the element is left out because of its attributes."""
-    label, out = "", False
+_NEVER_BY_NAME = set("html body main article h1 h2 h3 h4 h5 h6 p".split())
+_PARTS = re.compile(r"[-_]+")
+
+
+def _says_so(name: str) -> bool:
+    """Whether a class or id is a listed word, alone or as the one or the other of two parts."""
+    parts = _PARTS.split(name.strip("-_0123456789"))
+    if len(parts) > 2 or parts[0] in ("no", "with", "without", "has", "is", "tag", "post", "category"):
+        return False
+    return not _LEFT_OUT_WORDS.isdisjoint(parts)
+
+
+def _attributes(text: str) -> tuple[str, bool, bool]:
+    """Label of class and id, whether the element is hidden, and whether a class, id or role says that it isn't main text."""
+    label, hidden, named = "", False, False
     if text and not text.isspace():
         for m in _ATTRIBUTE.finditer(text):
             kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if kind == "hidden":
-                out = out or m[0].lower() == "hidden"
-                continue
-            out = out or not _LEFT_OUT_WORDS.isdisjoint(_WORD.findall(value))
-            if kind != "role" and value:
-                label += ("." if kind == "class" else "#") + re.sub(r"[\d/]+", "", value)
-    return label, out
+                hidden = True
+            elif kind in ("class", "id", "role"):
+                named = named or any(map(_says_so, value.split()))
+                if kind != "role" and value:
+                    label += ("." if kind == "class" else "#") + re.sub(r"[\d/]+", "", value)
+    return label, hidden, named
 
 
 class Page:
@@ -80,25 +100,26 @@ class Page:
     def __init__(self, source: str):
         self.tokens: list[str] = []
         self.runs: list[tuple[str, bool, bool, str | None]] = []
-        stack: list[tuple[str, str, bool, bool]] = []  # name, path, left out, link
-        path, out, link = "", False, False
-        at = 0
+        stack: list[tuple] = []  # name, path, left out, link, elements around that their names exclude
+        runs: list[tuple] = []
+        state = path, out, link, named = "", False, False, ()
+        at, elements = 0, 0
 
         def leave(k: int):
-            nonlocal path, out, link
+            nonlocal state
             for name, *_ in stack[k:]:
                 if name in _BLOCK:
-                    self.runs.append((path, out, link, None))
+                    runs.append((*state, None))
                     break
             del stack[k:]
-            path, out, link = stack[-1][1:] if stack else ("", False, False)
+            state = stack[-1][1:] if stack else ("", False, False, ())
 
         for m in _TOKEN.finditer(source):
             if m.start() > at:
-                self.runs.append((path, out, link, source[at : m.start()]))
+                runs.append((*state, source[at : m.start()]))
             at = m.end()
             if m["raw"]:
-                self.tokens.append(f"{path}/{m['raw'].lower()}")
+                self.tokens.append(f"{state[0]}/{m['raw'].lower()}")
                 continue
             if not m["name"]:
                 continue
@@ -118,36 +139,68 @@ class Page:
                 if open_name in _BLOCK and open_name != "p":
                     break
             if name in _VOID:
-                self.runs.append((path, out, link, None if name == "hr" else " "))
+                runs.append((*state, None if name == "hr" else " "))
                 continue
-            label, off = _attributes(m["attrs"])
+            label, hidden, says = _attributes(m["attrs"])
+            path, out, link, named = state
             inner = f"{path}/{name}{label}"
             self.tokens.append(inner)
             if name in _BLOCK:
-                self.runs.append((path, out, link, None))
+                runs.append((*state, None))
             elif name in ("td", "th"):
-                self.runs.append((path, out, link, " "))
+                runs.append((*state, " "))
             if m["attrs"].rstrip().endswith("/") and name not in _BLOCK and name not in ("a", "b", "i", "em", "strong", "span"):
                 continue
-            stack.append((name, inner, out or off or name in _LEFT_OUT, link or name == "a"))
-            path, out, link = stack[-1][1:]
+            if says and name not in _NEVER_BY_NAME:
+                elements += 1
+                named = (*named, elements)
+            stack.append((name, inner, out or hidden or name in _LEFT_OUT, link or name == "a", named))
+            state = stack[-1][1:]
         if at < len(source):
-            self.runs.append((path, out, link, source[at:]))
-
-    def text(self, slot: str | None) -> str:
-        """Kept text inside ``slot`` (None: the whole page), blocks joined by an empty line."""
+            runs.append((*state, source[at:]))
+        self._decide(runs)
+
+    def _decide(self, runs: list[tuple]) -> None:
+        """Elements that their names exclude stay if they hold most of the page's text outside links."""
+        total, inside = 0, defaultdict(int)
+        for _, out, link, named, text in runs:
+            if text and not out and not link:
+                size = len(text) - text.count(" ") if named or not text.isspace() else 0
+                total += size
+                for element in named:
+                    inside[element] += size
+        kept = {e for e, size in inside.items() if 2 * size > total}
+        self.runs = [(path, out or any(e not in kept for e in named), link, text) for path, out, link, named, text in runs]
+
+    def blocks(self, slot: str | None, links: tuple = ()) -> list[str]:
+        """Kept blocks of text inside ``slot`` (None: the whole page) and outside of ``links``."""
         blocks, part = [], []
         below = None if slot is None else slot + "/"
+        apart = tuple(t + "/" for t in links)
         for path, out, _, text in self.runs:
             if text is None:
                 if part:
                     blocks.append("".join(part))
                     part = []
             elif not out and (slot is None or path == slot or path.startswith(below)):
-                part.append(text)
+                if not links or not (path in links or path.startswith(apart)):
+                    part.append(text)
         blocks.append("".join(part))
         clean = (_SPACE.sub(" ", entities.unescape(b)).strip() for b in blocks)
-        return "\n\n".join(b for b in clean if b)
+        return [b for b in clean if b]
+
+    def text(self, slot: str | None, links: tuple = (), constant: frozenset = frozenset()) -> str:
+        """The kept blocks joined by an empty line, without the template's constant ones unless they are over a third."""
+        blocks = self.blocks(slot, links)
+        if constant:
+            own = [b for b in blocks if text_hash(b) not in constant]
+            if 3 * sum(map(len, own)) >= 2 * sum(map(len, blocks)):
+                blocks = own
+        return "\n\n".join(blocks)
+
+
+def text_hash(block: str) -> int:
+    return int.from_bytes(hashlib.blake2b(block.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _last(path: str) -> str:
@@ -203,8 +256,29 @@ def token_statistics(pages: DataFrame) -> DataFrame:
     return map_batches(pages, fn, schema).groupBy("host", "token").agg(*sums, vector)
 
 
+def constant_texts(pages: DataFrame, total: DataFrame) -> DataFrame:
+    """``host, texts``: hashes of the blocks that are on every page of a host of ``MANY_PAGES`` or more.
+
+    There are at most as many as blocks on a page.
+    """
+
+    def fn(batch):
+        seen: dict[tuple[str, int], int] = defaultdict(int)
+        for k in range(batch.num_rows):
+            page = Page(batch.column(2)[k].as_py() or "")
+            host = host_of(batch.column(1)[k].as_py())
+            for text in {text_hash(b) for b in page.blocks(own_slot(page))}:
+                seen[host, text] += 1
+        if seen:
+            yield {"host": [h for h, _ in seen], "text": [t for _, t in seen], "pages": list(seen.values())}
+
+    counted = map_batches(pages, fn, "host string, text long, pages long").groupBy("host", "text").agg(F.sum("pages").alias("pages"))
+    every = counted.join(total, "host").where((F.col("pages") == F.col("total")) & (F.col("total") >= MANY_PAGES))
+    return every.groupBy("host").agg(F.collect_list("text").alias("texts"))
+
+
 def deduce(stats: pd.DataFrame) -> dict:
-    """Nested classes of one host's frequent tokens, and the slot of the main text (None if no token qualifies)."""
+    """Nested classes of one host's frequent tags, the main region (None if no tag qualifies), and tags of link text."""
     rows = {r.token: r for r in stats.itertuples(index=False) if r.token}
     groups: dict[tuple, list[str]] = defaultdict(list)
     for token, r in rows.items():
@@ -226,30 +300,45 @@ def deduce(stats: pd.DataFrame) -> dict:
             parent = around.pop()
             classes.append({"tokens": tokens, "frame": pages == times, "inside": parent})
     frame = [t for c in classes if c["frame"] for t in c["tokens"]]
-    open_frame = [t for t in frame if not _excluded(t)]
+    plain = sum(r.chars - r.link_chars for r in rows.values())
+    kept = frozenset(
+        t for t in frame if 2 * sum(r.chars - r.link_chars for u, r in rows.items() if u == t or u.startswith(t + "/")) > plain
+    )
+    open_frame = [t for t in frame if not _excluded(t, kept)]
     slot = next((t for name in ("article", "main") for t in sorted(open_frame, key=len) if _last(t) == name), None)
+    weight, linked, counted = {}, {}, [(t, r) for t, r in rows.items() if not _excluded(t, kept)]
+    for t in open_frame:
+        below = [r for u, r in counted if u == t or u.startswith(t + "/")]
+        weight[t], linked[t] = sum(r.chars for r in below), sum(r.link_chars for r in below)
     if slot is None:
-        weight = {t: sum(r.chars - r.link_chars for u, r in rows.items() if u == t or u.startswith(t + "/")) for t in open_frame}
         bodies = [t for t in open_frame if _last(t) == "body"] or open_frame
         slot = max(bodies, key=lambda t: (weight[t], -len(t)), default=None)
         while slot is not None:
-            inner = [t for t in open_frame if t.startswith(slot + "/") and 2 * weight[t] > weight[slot]]
-            if not inner:
+            # Go in only if what is left outside is link text, or next to nothing.
+            plain = {t: weight[t] - linked[t] for t in open_frame}
+            inner = [t for t in open_frame if t.startswith(slot + "/") and 50 * (plain[slot] - plain[t]) <= plain[slot]]
+            if not inner or not plain[slot]:
                 break
             slot = min(inner, key=len)
-    return {"classes": classes, "slot": slot}
+    links = [t for t in open_frame if weight[t] and 10 * linked[t] >= 9 * weight[t] and _last(t) in ("ul", "ol", "div", "section", "table", "dl")]
+    return {"classes": classes, "slot": slot, "links": [t for t in links if t != slot]}
 
 
-def _excluded(path: str) -> bool:
-    for step in path.split("/"):
+def _excluded(path: str, kept: frozenset = frozenset()) -> bool:
+    """Whether an element around ``path``, or its own, is left out by name; ``kept`` ones are not by class and id."""
+    around = ""
+    for step in path.split("/")[1:]:
+        around += "/" + step
         name, *labels = re.split(r"[.#]", step)
-        if name in _LEFT_OUT or any(not _LEFT_OUT_WORDS.isdisjoint(_WORD.findall(v)) for v in labels):
+        named = name not in _NEVER_BY_NAME and around not in kept and any(_says_so(n) for v in labels for n in v.split())
+        if name in _LEFT_OUT or named:
             return True
     return False
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, template``: each host's template as JSON.  Its tokens are on half of the pages, so it stays small."""
+    """``host, template, texts``: each host's template as JSON and its constant blocks.  Its tags are on half of the pages, its
+    texts on all, so it stays small."""
 
     def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [key[0]], "template": [json.dumps(deduce(pdf))]})
@@ -258,7 +347,10 @@ def templates(pages: DataFrame) -> DataFrame:
     total = stats.where("token = ''").select("host", F.col("pages").alias("total"))
     often = stats.join(total, "host").where("2 * pages >= total").drop("total")
     often = often.withColumn("vector", F.col("vector").cast("string"))
-    return pinned(often.groupBy("host").applyInPandas(fn, "host string, template string"))
+    found = often.groupBy("host").applyInPandas(fn, "host string, template string")
+    texts = constant_texts(pages, total).select(F.col("host").alias("h"), "texts")
+    joined = found.join(texts, found.host == texts.h, "full").select(F.coalesce("host", "h").alias("host"), "template", "texts")
+    return pinned(joined)
 
 
 def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -268,7 +360,7 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", source:
     """
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"))
     found = templates(rows)
-    size = found.agg(F.sum(F.octet_length("host") + F.octet_length("template"))).first()[0] or 0
+    size = found.agg(F.sum(F.octet_length("host") + F.coalesce(F.octet_length("template"), F.lit(0)) + 8 * F.coalesce(F.size("texts"), F.lit(0)))).first()[0] or 0
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = rows.withColumn("host", F.regexp_replace(host, r"^(?:www|m)\.", ""))
     if size <= BROADCAST_BYTES:  # measured just above
@@ -279,15 +371,20 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", source:
         joined = salted.join(spread, ["host", "salt"], "left")
 
     def fn(batch):
-        slots: dict[str, str | None] = {}
+        read: dict[str, tuple] = {}
         texts = []
         for k in range(batch.num_rows):
             template = batch.column(3)[k].as_py()
-            if template not in slots:
-                slots[template] = json.loads(template)["slot"] if template else None
+            if template not in read:
+                parts = json.loads(template) if template else {}
+                read[template] = parts.get("slot"), tuple(parts.get("links", ()))
             page = Page(batch.column(2)[k].as_py() or "")
-            slot = slots[template]
-            texts.append(page.text(slot if slot in page.tokens else own_slot(page)))
+            slot, links = read[template]
+            constant = frozenset(batch.column(4)[k].as_py() or ())
+            if slot in page.tokens:
+                texts.append(page.text(slot, links, constant))
+            else:
+                texts.append(page.text(own_slot(page), (), constant))
         yield {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return map_batches(joined.select("page_id", "url", "html", "template"), fn, "page_id long, url string, text string, n_chars long")
+    return map_batches(joined.select("page_id", "url", "html", "template", "texts"), fn, "page_id long, url string, text string, n_chars long")
