@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from wordloom.operators.graph import graph_tables
+from wordloom.operators import pairs
 from wordloom.operators.pairs import pairwise_cor, pairwise_count
 
 
@@ -82,3 +83,25 @@ def test_graph_tables(spark):
         "b": (0, 1, 1),
         "c": (0, 1, 1),
     }
+
+
+@pytest.mark.parametrize("above,cell", [(0.3, 16384), (0.6, 16384), (0.45, 16)])
+def test_correlations_over_a_limit(spark, monkeypatch, above, cell):
+    """The same pairs as of all correlations, over several blocks and chunks; cells out of reach are not made."""
+    monkeypatch.setattr(pairs, "CELL_FEATURES", cell)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        size = int(rng.integers(1, 5)) if i < 30 else int(rng.integers(20, 80))
+        start = int(rng.integers(0, 100 - size))
+        rows += [(f"w{i}", f) for f in range(start, start + size) if rng.random() < 0.9]
+    frame = spark.createDataFrame(rows + [("all", f) for f in range(100)], "item string, feature int")
+    every = pairs.pairwise_cor(frame, "item", "feature", block=8)
+    want = {(r[0], r[1]): r[2] for r in every.collect() if r[2] > above}
+    got = pairs.pairwise_cor(frame, "item", "feature", block=8, above=above).collect()
+    assert len(got) == len(want) > 0 and {(r[0], r[1]): r[2] for r in got} == pytest.approx(want, abs=1e-12)
+
+
+def test_blocks_out_of_reach():
+    assert pairs.reachable_blocks([900, 40, 30, 2], [1000, 60, 39, 8], 2000, 0.5) == [0, 2, 3, 3]
+    assert pairs.reachable_blocks([10], [10], 10, 0.5) == [0]

@@ -12,13 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from wordloom.operators.prefix import dense_index
 from wordloom.operators.verbs import aslist
 from wordloom.session import checkpoint
 
 BLOCK = 1024
 CHUNK = 8192
+CELL_FEATURES = 16384  # of a cell of correlated pairs; with no more features a pair is decided in its cell
 
 
 def _presence(df: DataFrame, item: str, feature: str, by: Sequence[str]) -> DataFrame:
@@ -146,14 +148,19 @@ def pairwise_cor(
     items: Sequence | None = None,
     block: int = BLOCK,
     chunk: int = CHUNK,
+    above: float | None = None,
 ) -> DataFrame:
     """Phi coefficient of presence → ``item1, item2, correlation``.
 
     An item present in every feature has no correlation and gives no row.
+    ``above`` keeps correlations over a positive limit only, without counting
+    the pairs whose numbers of features are too different to reach it.
     ``dense`` also returns pairs that never meet; it needs ``items``, because
     all pairs of a whole vocabulary are not a useful table.
     """
     presence = _presence(df, item, feature, [])
+    if above is not None and above > 0 and items is None and not dense:
+        return _correlated(presence, above, block)
     holding = presence.groupBy("__item").agg(F.count(F.lit(1)).alias("d"))
     features = presence.select("__feature").distinct().agg(F.count(F.lit(1))).scalar().cast("double")
     counts = _counts(presence, [], items, block, chunk)
@@ -168,6 +175,106 @@ def pairwise_cor(
     else:
         pairs = counts.join(second, "item2")
     pairs = pairs.join(first, "item1").withColumn("__N", features)
+    out = pairs.select("item1", "item2", _phi().alias("correlation")).where(F.col("correlation").isNotNull())
+    return out if above is None else out.where(F.col("correlation") > above)
+
+
+def _phi() -> Column:
     spread = F.sqrt(F.col("d1") * (F.col("__N") - F.col("d1"))) * F.sqrt(F.col("d2") * (F.col("__N") - F.col("d2")))
-    phi = F.try_divide(F.col("__N") * F.col("n") - F.col("d1") * F.col("d2"), spread)
-    return pairs.select("item1", "item2", phi.alias("correlation")).where(F.col("correlation").isNotNull())
+    return F.try_divide(F.col("__N") * F.col("n") - F.col("d1") * F.col("d2"), spread)
+
+
+# --- correlations over a limit -------------------------------------------------
+
+
+def reachable_blocks(fewest: list[int], most: list[int], features: int, above: float) -> list[int]:
+    """For blocks of items in descending order of their numbers of features, the last one that each can reach.
+
+    A pair shares at most the features of its rarer item (d of them, the other D), so phi is at most
+    sqrt(d (N - D) / (D (N - d))); for a given D it takes d > limit**2 D N / (N - D + limit**2 D), which grows with D.
+    """
+    out, last = [], len(fewest) - 1
+    for b in range(len(fewest) - 1, -1, -1):
+        least = above**2 * fewest[b] * features / max(features - fewest[b] + above**2 * fewest[b], 1e-300)
+        while last > b and most[last] <= least * (1 - 1e-9):
+            last -= 1
+        out.append(max(last, b))
+    return out[::-1]
+
+
+def _correlated_cells(features: int, above: float, block: int, whole: bool):
+    def count_cell(cell):
+        import numpy as np
+        import pyarrow as pa
+
+        lo, hi = cell.column("__lo")[0].as_py(), cell.column("__hi")[0].as_py()
+        item = cell.column("__id").to_numpy()
+        held = cell.column("d").to_numpy().astype(np.float64)
+        order = np.argsort(cell.column("__f").to_numpy(), kind="stable")
+        feature = cell.column("__f").to_numpy()[order]
+        new = np.append(True, feature[1:] != feature[:-1])
+        place = np.cumsum(new) - 1
+        item, held = item[order], held[order]
+        sides = []
+        for b in (lo, hi):
+            d = np.zeros(block)
+            own = item // block == b
+            d[item[own] % block] = held[own]
+            sides.append((own, d))
+        counts = np.zeros((block, block))
+        for start in range(0, int(place[-1]) + 1, 2048):
+            a, b = np.searchsorted(place, [start, start + 2048])
+            hits = []
+            for own, _ in sides:
+                dense = np.zeros((2048, block), np.float32)
+                at = np.flatnonzero(own[a:b]) + a
+                dense[place[at] - start, item[at] % block] = 1.0
+                hits.append(dense)
+            counts += hits[0].T @ hits[1]
+        d1, d2 = sides[0][1][:, None], sides[1][1][None, :]
+        low, high = np.minimum(d1, d2), np.maximum(d1, d2)
+        keep = (counts > 0) & (low * (features - high) >= above**2 * high * (features - low) * (1 - 1e-9))
+        if whole:  # the cell holds all features: the pair is decided here, up to rounding
+            limit = above * np.sqrt(d1 * (features - d1)) * np.sqrt(d2 * (features - d2))
+            keep &= features * counts - d1 * d2 >= limit * (1 - 1e-9)
+        if lo == hi:
+            keep = np.triu(keep, 1)
+        a, b = np.nonzero(keep)
+        return pa.table({"a": pa.array(a + lo * block, pa.int64()), "b": pa.array(b + hi * block, pa.int64()), "n": pa.array(counts[a, b].astype(np.int64))})
+
+    return count_cell
+
+
+def _correlated(presence: DataFrame, above: float, block: int) -> DataFrame:
+    """Pairs with phi over a positive limit.
+
+    Items get ids by descending number of features, so a block of ids has similar numbers, and cells of two blocks
+    without a pair that could reach the limit are never made.  The driver sees two numbers per block.
+    """
+    spark = presence.sparkSession
+    holding = checkpoint(presence.groupBy("__item").agg(F.count(F.lit(1)).alias("d")))
+    ids = checkpoint(dense_index(holding, [F.desc("d"), F.asc("__item")], "__id"))
+    features = presence.select("__feature").distinct().count()
+    blocks = ids.groupBy(F.floor(F.col("__id") / block).cast("int").alias("__block")).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    blocks = sorted(tuple(r) for r in blocks.collect())
+    last = reachable_blocks([b[1] for b in blocks], [b[2] for b in blocks], features, above)
+    first = [next(a for a in range(b + 1) if last[a] >= b) for b in range(len(last))]
+    reach = spark.createDataFrame(list(zip(range(len(last)), first, last)), "__block int, __first int, __last int")
+    chunks = max(1, -(-features // CELL_FEATURES))
+    feature = F.xxhash64("__feature")
+    rows = presence.join(ids, "__item").select(
+        F.col("__id").cast("int").alias("__id"), "d", feature.alias("__f"), F.floor(F.col("__id") / block).cast("int").alias("__block")
+    )
+    rows = rows.join(reach, "__block").withColumn("__other", F.explode(F.sequence("__first", "__last")))
+    rows = rows.select(
+        F.least("__block", "__other").alias("__lo"), F.greatest("__block", "__other").alias("__hi"),
+        F.pmod("__f", F.lit(chunks)).cast("int").alias("__chunk"), "__id", "d", "__f",
+    )
+    counted = rows.groupBy("__lo", "__hi", "__chunk").applyInArrow(_correlated_cells(features, above, block, chunks == 1), "a long, b long, n long")
+    if chunks > 1:
+        counted = counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    named = [ids.select(F.col("__id").alias(k), F.col("__item").alias(f"item{i}"), F.col("d").cast("double").alias(f"d{i}")) for k, i in (("a", 1), ("b", 2))]
+    pairs = counted.join(named[0], "a").join(named[1], "b").withColumn("__N", F.lit(float(features)))
+    pairs = pairs.select("item1", "item2", _phi().alias("correlation")).where(F.col("correlation") > above)
+    both = F.array(F.struct("item1", "item2"), F.struct(F.col("item2").alias("item1"), F.col("item1").alias("item2")))
+    return pairs.select(F.inline(both), "correlation")

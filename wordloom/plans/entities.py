@@ -52,8 +52,7 @@ def _frequent(tokens: DataFrame, min_n: int, excluded_volume: str | None) -> Dat
 
 def cor_graph(tokens: DataFrame, above: float = 0.48, min_n: int = 50) -> DataFrame:
     """Edges between frequent words with correlated presence."""
-    pairs = pairwise_cor(_frequent(tokens, min_n, None), "word", "chapter")
-    return pairs.where(F.col("correlation") > above)
+    return pairwise_cor(_frequent(tokens, min_n, None), "word", "chapter", above=above)
 
 
 def ego_graph(tokens: DataFrame, entities: Sequence[str], above: float = 0.27, min_n: int = 50) -> DataFrame:
