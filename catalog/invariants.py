@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog.base import SENTIMENTS, lexicon_of, rounded, sections, table, tokens, with_lexicon, with_tokens
 from catalog.matrix import _CELL_SQL, _DIST_SQL, _DTM_SQL, embedding_cells, embedding_labels
-from catalog.models import _fit, _kmeans, _pruned, lda_tune
-from wordloom.operators import cluster, indices, matrix as mx
+from catalog.models import _dtm, _fit, _kmeans, _pruned, lda_tune
+from wordloom.operators import cluster, gibbs, indices, matrix as mx, transfers
 from wordloom.operators.prefix import dense_index
 from wordloom.plans import sentiment as splans, topics as tplans
-from wordloom.session import ensure_checkpoint_dir
+from wordloom.session import checkpoint, ensure_checkpoint_dir
 from wordloom.sources import text as src
 
 # --- trees -----------------------------------------------------------------
@@ -57,6 +57,35 @@ def cutree_given(spark, d):
     return cluster.cutree(steps, leaves, 7)
 
 
+# --- sampled topics ----------------------------------------------------------
+
+
+@query(
+    "gibbs_totals",
+    with_tokens(_DTM_SQL + """
+SELECT 'term' AS kind, term AS name, CAST(sum(n) AS BIGINT) AS n FROM dtm GROUP BY term
+UNION ALL SELECT 'document', CAST(document AS VARCHAR), CAST(sum(n) AS BIGINT) FROM dtm GROUP BY document"""),
+)
+def gibbs_totals(spark, d):
+    """Whatever topics three sweeps draw, the counts by term and by document add up to the tokens."""
+    fit = gibbs.fit_gibbs(_dtm(spark, d), 8, sweeps=3)
+    terms = fit.counts.groupBy(F.col("term").alias("name")).agg(F.sum("n").alias("n"))
+    documents = fit.documents.groupBy(F.col("document").cast("string").alias("name")).agg(F.sum("n").alias("n"))
+    return terms.select(F.lit("term").alias("kind"), "name", "n").unionByName(documents.select(F.lit("document").alias("kind"), "name", "n"))
+
+
+@query(
+    "gibbs_one_topic",
+    with_tokens(_DTM_SQL + """, t AS (SELECT term, sum(n) AS n FROM dtm GROUP BY term), s AS (SELECT sum(n) AS n, count(*) AS v FROM t)
+SELECT CAST(1 AS INTEGER) AS sweep, round((SELECT sum(lgamma(n + 0.1) - lgamma(0.1)) FROM t) + lgamma(v * 0.1) - lgamma(n + v * 0.1), 3)
+  AS log_likelihood FROM s"""),
+)
+def gibbs_one_topic(spark, d):
+    """With one topic the likelihood of the words is known."""
+    fit = gibbs.fit_gibbs(_dtm(spark, d), 1, sweeps=1)
+    return spark.createDataFrame([(s, round(v, 3)) for s, v in fit.likelihoods], "sweep int, log_likelihood double")
+
+
 # --- components ------------------------------------------------------------
 
 _NORM_SQL = f"""WITH {_CELL_SQL}, mid AS (SELECT col, avg(x) AS m, stddev_pop(x) AS s FROM cell GROUP BY col)
@@ -206,6 +235,36 @@ def index_split_given(spark, d):
 # --- fitted clusters and topics --------------------------------------------
 
 
+@query(
+    "transfer_gains_given",
+    f"""WITH {_CELL_SQL}, label AS (SELECT vec_id AS item, CAST(vec_id % 5 + 1 AS INTEGER) AS cluster FROM embeddings),
+size AS (SELECT cluster, count(*) AS n FROM label GROUP BY cluster),
+centre AS (SELECT cluster, col, sum(x) / max(n) AS m FROM cell JOIN label USING (item) JOIN size USING (cluster) GROUP BY cluster, col),
+dist AS (SELECT item, cluster, sum((x - m) * (x - m)) AS d FROM cell JOIN centre USING (col) GROUP BY item, cluster),
+cost AS (SELECT l.item, l.cluster, a.d * s.n / (s.n - 1) AS own, b.cluster AS to, b.d * t.n / (t.n + 1) AS cost FROM label l
+  JOIN dist a ON a.item = l.item AND a.cluster = l.cluster JOIN size s ON s.cluster = l.cluster
+  JOIN dist b ON b.item = l.item AND b.cluster <> l.cluster JOIN size t ON t.cluster = b.cluster)
+SELECT item, cluster, arg_min("to", cost) AS "to", round(max(own) - min(cost), 6) AS gain FROM cost GROUP BY item, cluster""".replace("AS to,", 'AS "to",'),
+)
+def transfer_gains_given(spark, d):
+    """The best transfer of each vector out of five given clusters."""
+    labels = table(spark, d, "embeddings").selectExpr("vec_id AS item", "CAST(vec_id % 5 + 1 AS INT) AS cluster")
+    return rounded(transfers.transfer_gains(embedding_cells(spark, d), labels, "item", "col", "x"), "gain")
+
+
+@query(
+    "kmeans_transfers_best",
+    "SELECT CAST(0 AS BIGINT) AS improvable, count(*) AS items, CAST(7 AS BIGINT) AS clusters FROM embeddings",
+)
+def kmeans_transfers_best(spark, d):
+    """After k-means and transfers no vector's best transfer lowers the within-cluster sum."""
+    cells = checkpoint(embedding_cells(spark, d))
+    labels, _ = cluster.kmeans(cells, 7, row="item", col="col", value="x")
+    done = transfers.kmeans_transfers(cells, labels, "item", "col", "x")
+    gains = transfers.transfer_gains(cells, done, "item", "col", "x")
+    return gains.agg(F.count_if(F.col("gain") > 1e-9).alias("improvable"), F.count(F.lit(1)).alias("items"), F.countDistinct("cluster").alias("clusters"))
+
+
 @query(
     "kmeans_sizes_total",
     with_tokens(" SELECT count(DISTINCT chapter) AS documents, CAST(7 AS BIGINT) AS clusters FROM token"),

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from wordloom.operators import cluster, dtm as dt, indices, matrix as mx
+from wordloom.operators import cluster, dtm as dt, indices, matrix as mx, transfers
 from wordloom.operators.verbs import count_by
 
 
@@ -294,3 +294,56 @@ def test_scores_of_rows_without_cells(spark):
     x -= x.mean(0)
     np.testing.assert_allclose(got @ got.T, x @ x.T, atol=1e-9)
     assert loadings.count() == 4
+
+
+# --- transfers -----------------------------------------------------------------
+
+
+def _within(x, labels):
+    return sum(((x[labels == c] - x[labels == c].mean(0)) ** 2).sum() for c in np.unique(labels))
+
+
+def test_transfers_end_where_no_single_move_helps(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(m, 1.0, (40, 5)) for m in (0, 1.5, 3)] + [np.zeros((2, 5))]).round(3)
+    df, names = long(spark, x)
+    start = spark.createDataFrame([(n, 1 + i % 4) for i, n in enumerate(names)], "item string, cluster int")
+    done = transfers.kmeans_transfers(df, start, "item", "col", "x")
+    labels = {r["item"]: r["cluster"] for r in done.collect()}
+    assert set(labels) == set(names)
+    got = np.array([labels[n] for n in names])
+    assert len(set(got)) == 4 and _within(x, got) < _within(x, np.arange(len(x)) % 4 + 1)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE cell (item VARCHAR, col INTEGER, x DOUBLE)")
+    con.executemany("INSERT INTO cell VALUES (?, ?, ?)", [(n, j, float(v)) for n, r in zip(names, x) for j, v in enumerate(r)])
+    con.execute("CREATE TABLE label (item VARCHAR, cluster INTEGER)")
+    con.executemany("INSERT INTO label VALUES (?, ?)", list(labels.items()))
+    worst = con.execute("""
+        WITH size AS (SELECT cluster, count(*) AS n FROM label GROUP BY cluster),
+        centre AS (SELECT cluster, col, avg(x) AS m FROM cell JOIN label USING (item) GROUP BY cluster, col),
+        dist AS (SELECT item, cluster, sum((x - m) * (x - m)) AS d FROM cell JOIN centre USING (col) GROUP BY item, cluster)
+        SELECT max(a.d * s.n / (s.n - 1) - b.d * t.n / (t.n + 1)) FROM label l
+        JOIN dist a ON a.item = l.item AND a.cluster = l.cluster JOIN size s ON s.cluster = l.cluster
+        JOIN dist b ON b.item = l.item AND b.cluster <> l.cluster JOIN size t ON t.cluster = b.cluster WHERE s.n > 1""").fetchone()[0]
+    assert worst <= 1e-9
+
+
+def test_gain_of_a_transfer(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(14, 3)).round(2)
+    df, names = long(spark, x)
+    labels = np.array([1] * 7 + [2] * 6 + [3])
+    given = spark.createDataFrame([(n, int(c)) for n, c in zip(names, labels)], "item string, cluster int")
+    for r in transfers.transfer_gains(df, given, "item", "col", "x").collect():
+        i = names.index(r["item"])
+        if labels[i] == 3:
+            assert r["gain"] is None
+            continue
+        falls = {}
+        for c in {1, 2, 3} - {labels[i]}:
+            moved = labels.copy()
+            moved[i] = c
+            falls[c] = _within(x, labels) - _within(x, moved)
+        best = max(falls, key=falls.get)
+        assert (r["to"], r["gain"]) == (best, pytest.approx(falls[best]))
