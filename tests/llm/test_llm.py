@@ -432,6 +432,77 @@ def test_quality(spark, none):
     assert {r.predicted for r in quality_scores(docs, untrained).collect()} == {1}
 
 
+def test_quality_sample(spark):
+    """Conflicting labels and repeated rows: one text per id, whatever the number of its copies."""
+    from wordloom.llm import quality
+
+    docs = [(i, sentence(20) if i % 2 else sentence(20).upper()) for i in range(200)]
+    labels = [(i, i % 2, 0) for i in range(200)] + [(i, 1 - i % 2, 0) for i in range(0, 200, 10)]
+    seen = []
+
+    def train(texts, target):
+        seen.append((len(texts), int(target.sum())))
+        return quality.initial()
+
+    original, quality.train = quality.train, train
+    try:
+        frame = spark.createDataFrame(docs * 5, "doc_id long, text string")
+        quality.fit_quality(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), per_class=30)
+    finally:
+        quality.train = original
+    assert seen == [(60, 30)]
+
+
+def test_features_against_a_plain_convolution():
+    from wordloom.llm import quality
+
+    model = quality.initial()
+    rng = np.random.default_rng(2)
+    model["bias"] = rng.normal(size=quality.FILTERS).astype(np.float32)
+    chunks = rng.integers(0, 256, (3, quality.CHUNK))
+    got = quality.pooled(model, chunks.astype(np.uint8))
+    for chunk, features in zip(chunks, got):
+        for f in range(quality.FILTERS):
+            best = max(
+                sum(float(model["embed"][chunk[at + j], e] * model["conv"][j * quality.EMBED + e, f]) for j in range(quality.WIDTH) for e in range(quality.EMBED))
+                for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.HOP)
+            )
+            assert features[f] == pytest.approx(max(best + model["bias"][f], 0), abs=1e-4)
+
+
+def test_write_shards(spark, tmp_path):
+    from wordloom.llm.sharding import assign_shards, write_shards
+
+    rows = [(i, "x" * (i % 50), i) for i in range(300)] + [(5, "again", 1), (None, "no id", 2), (7, None, 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, shard_depth int")
+    write_shards(frame, 1000, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, (tuple(r) for r in back.select(frame.columns).collect()))) == sorted(map(repr, rows))
+    sizes = back.groupBy("shard").agg({"text": "count"}).count()
+    assert sizes > 3
+    with pytest.raises(ValueError, match="shard"):
+        write_shards(frame.withColumnRenamed("shard_depth", "shard"), 1000, str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        assign_shards(frame, 0)
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    empty = spark.createDataFrame([], schema)
+    twice = sentence(80)
+    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "", "", 0), (3, twice, "en", "a", 1), (4, twice, "en", "a", 1), (None, "x", None, None, 1)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == empty.columns), name
+        kept = {r.doc_id for r in stage(spark, odd, str(tmp_path)).collect()}
+        assert kept >= {1, 2, 3, None} and (4 in kept) == (name not in ("near_duplicates", "passages")), name
+    assert corpus_pipeline.passages_stage(spark, odd.drop("n_chars"), str(tmp_path)).columns == ["doc_id", "text", "lang", "source"]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not found")
 def test_queries_and_pipeline(spark):
     import __spark_entry__ as entry

@@ -5,7 +5,7 @@ embedding, learned filters run over the chunk, and the maximum of each filter is
 maximum over all chunks of the text go through a small layer into one probability.
 
 The network is trained on the driver with Adam, on a bounded sample: at most ``per_class`` labelled texts of each class
-(those with the smallest id hashes) and ``TRAIN_CHUNKS`` evenly spread chunks of each.  The share of label 1 among all
+(those with the smallest id hashes), read from the first byte to the last as in scoring.  The share of label 1 among all
 labelled rows sets the score back to the true proportions.  Scores read every byte of every text.
 """
 
@@ -22,7 +22,6 @@ from wordloom.llm.common import map_batches, text_slices
 CHUNK, STRIDE = 256, 224
 WIDTH, HOP, EMBED, FILTERS, HIDDEN = 8, 2, 4, 16, 16
 POSITIONS = (CHUNK - WIDTH) // HOP + 1
-TRAIN_CHUNKS = 12
 PER_CLASS = 2000
 
 
@@ -149,9 +148,14 @@ def held_out(id: Column) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict[str, np.ndarray]:
-    """Train on labelled rows outside the held-out fifth; with one class or none, every score is that class's share."""
+    """Train on labelled rows outside the held-out fifth; with one class or none, every score is that class's share.
+
+    Labels without id or other than 0 and 1 take no part, nor do documents with both labels.  Repeated labels and documents
+    count once; of several texts of one id the smallest is read.  Null texts are read as empty.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("other"))
+    known = known.where("quality = other").drop("other")
     share = known.agg(F.count("*").alias("n"), F.sum("quality").alias("good")).first()
     n, good = share["n"], share["good"] or 0
     model = initial() | {"prior": np.float64(0)}
@@ -168,13 +172,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
             for k in range(to - row):
                 text = _padded(raw[off[k] : off[k + 1]])
                 starts = chunk_starts(len(text))
-                starts = starts[np.unique(np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).astype(int))]
                 ids.append(batch.column(0)[row + k].as_py())
                 quality.append(batch.column(2)[row + k].as_py())
                 data.append(text[starts[:, None] + np.arange(CHUNK)].tobytes())
         yield {"doc_id": ids, "quality": quality, "chunks": data}
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")  # 2 * per_class rows
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))  # repeated ids
     got = map_batches(rows, chunks, "doc_id long, quality int, chunks binary").toPandas()
     got = got.sort_values(["doc_id", "chunks"]).reset_index(drop=True)
     if got["quality"].nunique() < 2:

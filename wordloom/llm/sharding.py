@@ -30,8 +30,10 @@ def assign_shards(docs: DataFrame, limit: int, id: str = "doc_id", text: str = "
     """``doc_id, bytes, shard_depth, shard_prefix, shard_bytes, shard_docs`` of every row.
 
     ``shard_prefix`` are the first ``shard_depth`` bits of the hash.  Null texts have 0 bytes; rows with a null id share
-    the hash of the empty string; repeated rows are all kept, in one shard.
+    the hash of the empty string; repeated rows are all kept, in one shard.  ``limit`` is in bytes, at least 1 (ValueError).
     """
+    if limit < 1:
+        raise ValueError("the limit of a shard must be at least one byte")
     name = F.coalesce(F.col(id).cast("string"), F.lit(""))
     rows = pinned(
         docs.select(
@@ -68,8 +70,16 @@ def assign_shards(docs: DataFrame, limit: int, id: str = "doc_id", text: str = "
         base, depth = depth + 1, min(HASH_BITS, depth + STEP)
 
 
-def write_shards(docs: DataFrame, limit: int, path: str, id: str = "doc_id", text: str = "text") -> None:
-    """Write every shard as a folder ``shard=<depth>-<prefix>`` of parquet files; ids must be unique and not null."""
-    shard = F.concat_ws("-", "shard_depth", "shard_prefix").alias("shard")
-    placed = assign_shards(docs, limit, id, text).select(F.col("doc_id").alias(id), shard)
-    docs.join(placed, id).repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, limit: int, path: str, id: str = "doc_id", text: str = "text", folder: str = "shard") -> None:
+    """Write every shard as a folder ``<folder>=<depth>-<prefix>`` of parquet files with all columns of the rows.
+
+    Rows with a null id share the hash of the empty string; rows that repeat an id are all written, to one shard.  A table
+    with a column named like the folder is refused (ValueError): choose another name.
+    """
+    if folder in docs.columns:
+        raise ValueError(f"the table has a column {folder!r}: name the folders otherwise")
+    key = next(f"__id{k}" for k in range(len(docs.columns) + 1) if f"__id{k}" not in docs.columns)
+    shard = F.concat_ws("-", "shard_depth", "shard_prefix").alias(folder)
+    placed = assign_shards(docs, limit, id, text).select(F.col("doc_id").alias(key), shard).distinct()
+    joined = docs.join(placed, F.col(id).eqNullSafe(F.col(key))).drop(key)
+    joined.repartition(folder).write.partitionBy(folder).parquet(path)
