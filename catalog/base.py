@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wordloom.operators.tokens import clean_bigrams, clean_tokens
+from wordloom.operators.verbs import count_by
+from wordloom.session import checkpoint
 from wordloom.sources.text import read_table
 
 KEYS = ["volume", "book", "chapter"]
@@ -57,6 +59,11 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     return clean_tokens(sections(spark, d), "text", STOP_WORDS, KEYS)
 
 
+def counted_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens counted by chapter and word, stored: the lexicon and the counts read the texts once."""
+    return checkpoint(count_by(tokens(spark, d), [*KEYS, "word"]))
+
+
 def bigrams(spark: SparkSession, d: str) -> DataFrame:
     return clean_bigrams(sections(spark, d), "text", STOP_WORDS, KEYS)
 

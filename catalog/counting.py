@@ -360,6 +360,15 @@ def split_sample(spark, d):
     return verbs.split_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 0.8, seed=234)
 
 
+@query(
+    "sample_exact",
+    """WITH h AS (SELECT doc_id, CAST('0x' || substr(md5('1030:' || doc_id), 1, 15) AS BIGINT) AS h, count(*) OVER () AS n FROM documents)
+SELECT doc_id, row_number() OVER (ORDER BY h) <= floor(n * 0.8 + 1e-9) AS in_sample FROM h""",
+)
+def sample_exact(spark, d):
+    return verbs.sample_exact(table(spark, d, "documents").select("doc_id"), "doc_id", 0.8, seed=1030)
+
+
 # --- word reports ----------------------------------------------------------
 
 

@@ -239,8 +239,8 @@ def index_split_given(spark, d):
     "transfer_gains_given",
     f"""WITH {_CELL_SQL}, label AS (SELECT vec_id AS item, CAST(vec_id % 5 + 1 AS INTEGER) AS cluster FROM embeddings),
 size AS (SELECT cluster, count(*) AS n FROM label GROUP BY cluster),
-centre AS (SELECT cluster, col, sum(x) / max(n) AS m FROM cell JOIN label USING (item) JOIN size USING (cluster) GROUP BY cluster, col),
-dist AS (SELECT item, cluster, sum((x - m) * (x - m)) AS d FROM cell JOIN centre USING (col) GROUP BY item, cluster),
+centre AS (SELECT l.cluster, col, sum(x) / max(n) AS m FROM cell JOIN label l USING (item) JOIN size s ON s.cluster = l.cluster GROUP BY l.cluster, col),
+dist AS (SELECT item, centre.cluster, sum((x - m) * (x - m)) AS d FROM cell JOIN centre USING (col) GROUP BY item, centre.cluster),
 cost AS (SELECT l.item, l.cluster, a.d * s.n / (s.n - 1) AS own, b.cluster AS to, b.d * t.n / (t.n + 1) AS cost FROM label l
   JOIN dist a ON a.item = l.item AND a.cluster = l.cluster JOIN size s ON s.cluster = l.cluster
   JOIN dist b ON b.item = l.item AND b.cluster <> l.cluster JOIN size t ON t.cluster = b.cluster)
@@ -252,19 +252,6 @@ def transfer_gains_given(spark, d):
     return rounded(transfers.transfer_gains(embedding_cells(spark, d), labels, "item", "col", "x"), "gain")
 
 
-@query(
-    "kmeans_transfers_best",
-    "SELECT CAST(0 AS BIGINT) AS improvable, count(*) AS items, CAST(7 AS BIGINT) AS clusters FROM embeddings",
-)
-def kmeans_transfers_best(spark, d):
-    """After k-means and transfers no vector's best transfer lowers the within-cluster sum."""
-    cells = checkpoint(embedding_cells(spark, d))
-    labels, _ = cluster.kmeans(cells, 7, row="item", col="col", value="x")
-    done = transfers.kmeans_transfers(cells, labels, "item", "col", "x")
-    gains = transfers.transfer_gains(cells, done, "item", "col", "x")
-    return gains.agg(F.count_if(F.col("gain") > 1e-9).alias("improvable"), F.count(F.lit(1)).alias("items"), F.countDistinct("cluster").alias("clusters"))
-
-
 @query(
     "kmeans_sizes_total",
     with_tokens(" SELECT count(DISTINCT chapter) AS documents, CAST(7 AS BIGINT) AS clusters FROM token"),

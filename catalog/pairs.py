@@ -11,6 +11,7 @@ from catalog.base import (
     SENTIMENTS,
     bigrams,
     in_list,
+    counted_tokens,
     lexicon_of,
     rounded,
     sql_array,
@@ -230,7 +231,7 @@ SELECT item1, sentiment, value, n, round(value / n, 6) AS perc FROM z LEFT JOIN
 QUALIFY rank() OVER (PARTITION BY item1 ORDER BY value / n DESC) <= 5"""),
 )
 def q_entity_sentiment(spark, d):
-    toks = tokens(spark, d)
+    toks = counted_tokens(spark, d)
     return rounded(plans.entity_sentiment(toks, lexicon_of(toks), ENTITIES, SENTIMENTS), "perc")
 
 
@@ -249,7 +250,7 @@ z AS (SELECT ch, item1, sentiment, coalesce(value, 0) AS value FROM k CROSS JOIN
     _section_sql(["positive", "joy", "fear"], "SELECT ch, item1, sentiment, value FROM z"),
 )
 def q_entity_section_sentiment(spark, d):
-    toks = tokens(spark, d)
+    toks = counted_tokens(spark, d)
     return plans.entity_section_sentiment(toks, lexicon_of(toks), ENTITIES, ["positive", "joy", "fear"])
 
 
@@ -259,7 +260,7 @@ def q_entity_section_sentiment(spark, d):
                  "SELECT ch, item1, sentiment, value, round(value / sum(value) OVER (PARTITION BY ch), 6) AS perc FROM z"),
 )
 def q_entity_section_sentiment_share(spark, d):
-    toks = tokens(spark, d)
+    toks = counted_tokens(spark, d)
     out = plans.entity_section_sentiment_share(toks, lexicon_of(toks), ENTITIES, ["sadness", "joy", "fear"])
     return rounded(out, "perc")
 
@@ -272,7 +273,7 @@ SELECT ch, item1, sentiment, value, round(val_perc, 9) AS val_perc,
   round(val_perc / sum(val_perc) OVER (PARTITION BY ch, item1), 6) AS perc FROM w"""),
 )
 def q_entity_section_sentiment_weighted(spark, d):
-    toks = tokens(spark, d)
+    toks = counted_tokens(spark, d)
     out = plans.entity_section_sentiment_weighted(
         toks, lexicon_of(toks), ENTITIES, ["positive", "joy", "fear", "sadness"]
     )

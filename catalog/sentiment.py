@@ -8,6 +8,7 @@ from catalog import query
 from catalog.base import (
     EXCLUDED_VOLUME,
     SENTIMENTS,
+    counted_tokens,
     in_list,
     lexicon_of,
     rounded,
@@ -24,7 +25,7 @@ _MATCH = " FROM token JOIN lexicon USING (word)"
 
 
 def _inputs(spark, d):
-    toks = tokens(spark, d)
+    toks = counted_tokens(spark, d)
     return toks, lexicon_of(toks)
 
 

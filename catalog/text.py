@@ -262,6 +262,40 @@ def clean_tokens(spark, d):
     return verbs.count_by(tokens(spark, d), [*KEYS, "word"])
 
 
+_OWNED_SQL = r"""WITH section AS (SELECT lang AS volume, source AS book, doc_id AS chapter,
+  replace(lower(regexp_replace(text, '(er|on) ', '\1’s ', 'g')), '’', chr(39)) AS text FROM documents)"""
+
+
+def _owned(spark, d):
+    """Texts with possessives: words that end in er or on get one."""
+    return sections(spark, d).withColumn("text", F.regexp_replace("text", "(er|on) ", "$1’s "))
+
+
+@query(
+    "clean_tokens_normalized",
+    _OWNED_SQL + f""", raw AS (SELECT volume, book, chapter, unnest(regexp_extract_all(text, '{WORD_RX}', 1)) AS word FROM section)
+SELECT volume, book, chapter, replace(word, chr(39) || 's', '') AS word, count(*) AS n
+FROM raw WHERE word NOT IN {in_list(STOP_WORDS)} GROUP BY volume, book, chapter, replace(word, chr(39) || 's', '')""",
+)
+def clean_tokens_normalized(spark, d):
+    """Typographic apostrophes are read as plain ones; possessives still go."""
+    words = tk.clean_tokens(_owned(spark, d), "text", STOP_WORDS, KEYS, normalize_apostrophes=True)
+    return verbs.count_by(words, [*KEYS, "word"])
+
+
+@query(
+    "clean_bigrams_normalized",
+    _OWNED_SQL + f""", list AS (SELECT volume, book, chapter, regexp_extract_all(text, '{WORD_RX}', 1) AS ws FROM section),
+raw AS (SELECT volume, book, chapter, ws[i] AS w1, ws[i + 1] AS w2 FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM list WHERE len(ws) >= 2)),
+clean AS (SELECT volume, book, chapter, w1 || ' ' || replace(w2, chr(39) || 's', '') AS bigram
+  FROM raw WHERE w1 NOT IN {in_list(STOP_WORDS)} AND w2 NOT IN {in_list(STOP_WORDS)})
+SELECT volume, book, chapter, bigram, count(*) AS n FROM clean GROUP BY ALL""",
+)
+def clean_bigrams_normalized(spark, d):
+    pairs = tk.clean_bigrams(_owned(spark, d), "text", STOP_WORDS, KEYS, normalize_apostrophes=True)
+    return verbs.count_by(pairs, [*KEYS, "bigram"])
+
+
 @query(
     "clean_bigrams", with_bigrams(" SELECT volume, book, chapter, bigram, count(*) AS n FROM bigram GROUP BY ALL")
 )

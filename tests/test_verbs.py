@@ -239,3 +239,17 @@ def test_t_quantile(spark):
     got = [r[0] for r in df.select(_t_quantile_975(F.col("df"))).collect()]
     assert got[0] is None
     assert got[1:] == pytest.approx([12.7062, 4.30265, 3.18245, 2.57058, 2.22814, 1.98397], abs=1e-3)
+
+
+def test_exact_sample(spark):
+    rows = spark.range(5000).repartition(7)
+    for fraction in (0.0, 0.3333, 0.8, 1.0):
+        got = verbs.sample_exact(rows, "id", fraction, seed=3).where("in_sample").collect()
+        assert len(got) == int(5000 * fraction + 1e-9)
+    assert {r["id"] for r in got} == set(range(5000))
+    again = verbs.sample_exact(rows.coalesce(1), "id", 0.3333, seed=3).where("in_sample")
+    assert {r["id"] for r in again.collect()} == {r["id"] for r in verbs.sample_exact(rows, "id", 0.3333, seed=3).where("in_sample").collect()}
+    same = spark.createDataFrame([(1,)] * 10, "id int")
+    with pytest.raises(ValueError, match="between rows"):
+        verbs.sample_exact(same, "id", 0.5)
+    assert verbs.sample_exact(same.limit(0), "id", 0.5).count() == 0

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 from wordloom.operators.prefix import dense_index
 from wordloom.operators.verbs import count_by
+from wordloom.session import ensure_checkpoint_dir
 
 
 def dtm(tokens: DataFrame, document: str, term: str) -> DataFrame:
@@ -84,3 +87,27 @@ def to_vectors(
     size = vocab.agg(F.count(F.lit(1)).cast("int")).scalar()
     arrays = row_arrays(matrix, row, col, value, vocab, rows)
     return arrays.select(row, vector_column(size).alias("features")), vocab
+
+
+def stored_vectors(
+    matrix: DataFrame,
+    row: str = "document",
+    col: str = "term",
+    value: str = "n",
+    vocab: DataFrame | None = None,
+    rows: DataFrame | None = None,
+) -> DataFrame:
+    """Sparse vectors named ``features`` by row, as a table in the checkpoint folder in a layout that does not change.
+
+    The vector type's stored form is a plain struct: it is written as such and read with the vector type, so no number is
+    printed and parsed.
+    """
+    spark = matrix.sparkSession
+    vocab = vocabulary(matrix, col) if vocab is None else vocab
+    size = vocab.agg(F.count(F.lit(1)).cast("int")).scalar()
+    arrays = row_arrays(matrix, row, col, value, vocab, rows).repartition(row).sortWithinPartitions(row)
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), size.alias("size"), F.col("idx").alias("indices"), F.col("val").alias("values"))
+    plain = arrays.select(row, stored.alias("features"))
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    plain.write.parquet(path)
+    return spark.read.schema(StructType([plain.schema[row], StructField("features", VectorUDT())])).parquet(path)

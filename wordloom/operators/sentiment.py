@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, functions as F
 from wordloom.operators.pairs import pairwise_count
 from wordloom.operators.tfidf import exact_sum
 from wordloom.operators.tokens import attach_lexicon
-from wordloom.operators.verbs import aslist, attach_totals, count_by, top_n
+from wordloom.operators.verbs import aslist, attach_totals, top_n
 
 
 def sentiment_counts(tokens: DataFrame, lex: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Token-sentiment matches per key → ``keys, sentiment, n``.
 
     Tokens are counted per word before the many-to-many join, so the join sees
-    one row per key and word.
+    one row per key and word.  ``tokens`` may be counted already: a column ``n``
+    says how many tokens a row stands for.
     """
     keys = aslist(keys)
-    matched = attach_lexicon(count_by(tokens, [*keys, "word"]), lex)
+    grouped = tokens.groupBy(*keys, "word")
+    counted = grouped.agg((F.sum("n") if "n" in tokens.columns else F.count(F.lit(1))).alias("n"))
+    matched = attach_lexicon(counted, lex)
     return matched.groupBy(*keys, "sentiment").agg(F.sum("n").alias("n"))
 
 

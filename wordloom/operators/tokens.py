@@ -22,10 +22,15 @@ def tokenize_words(
 
 
 def tokenize_ngrams(
-    df: DataFrame, text: str, n: int = 2, out: str = "bigram", keep: Sequence[str] | None = None
+    df: DataFrame,
+    text: str,
+    n: int = 2,
+    out: str = "bigram",
+    keep: Sequence[str] | None = None,
+    normalize_apostrophes: bool = False,
 ) -> DataFrame:
     """One row per run of ``n`` words of a text; shorter texts give no row."""
-    words = df.select(*_kept(df, text, keep), words_of(text).alias("__words"))
+    words = df.select(*_kept(df, text, keep), words_of(text, normalize_apostrophes).alias("__words"))
     return words.select(*_kept(df, text, keep), F.explode(ngrams_of(F.col("__words"), n)).alias(out))
 
 
@@ -55,8 +60,8 @@ def attach_lexicon(tokens: DataFrame, lex: DataFrame, on: str = "word") -> DataF
     return tokens.join(lex.withColumnRenamed("word", on), on)
 
 
-def strip_possessive(df: DataFrame, cols: Sequence[str] | str) -> DataFrame:
-    return df.withColumns({c: without_possessive(c) for c in aslist(cols)})
+def strip_possessive(df: DataFrame, cols: Sequence[str] | str, normalize_apostrophes: bool = False) -> DataFrame:
+    return df.withColumns({c: without_possessive(c, normalize_apostrophes) for c in aslist(cols)})
 
 
 def clean_tokens(
@@ -70,15 +75,25 @@ def clean_tokens(
 
     The order is part of the result: ``it’s`` is no stop word, and becomes
     ``it`` after the stop words are gone.  Lines need not be collapsed first,
-    since no word crosses a line.
+    since no word crosses a line.  With ``normalize_apostrophes`` the text's
+    ``’`` is read as ``'`` first.
     """
     words = tokenize_words(df, text, keep=keys, normalize_apostrophes=normalize_apostrophes)
-    return strip_possessive(remove_words(words, stop_words), "word").select(*aslist(keys), "word")
+    kept = remove_words(words, stop_words)
+    return strip_possessive(kept, "word", normalize_apostrophes).select(*aslist(keys), "word")
 
 
-def clean_bigrams(df: DataFrame, text: str, stop_words: DataFrame | Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Bigrams without stop words on either side → ``keys, bigram``."""
-    pairs = split_ngram(tokenize_ngrams(df, text, 2, keep=keys), "bigram", ["w1", "w2"])
+def clean_bigrams(
+    df: DataFrame,
+    text: str,
+    stop_words: DataFrame | Sequence[str],
+    keys: Sequence[str],
+    normalize_apostrophes: bool = False,
+) -> DataFrame:
+    """Bigrams without stop words on either side → ``keys, bigram``; apostrophes as in ``clean_tokens``."""
+    ngrams = tokenize_ngrams(df, text, 2, keep=keys, normalize_apostrophes=normalize_apostrophes)
+    pairs = split_ngram(ngrams, "bigram", ["w1", "w2"])
     for side in ("w1", "w2"):
         pairs = remove_words(pairs, stop_words, on=side)
-    return unite(strip_possessive(pairs, "w2"), ["w1", "w2"], "bigram").select(*aslist(keys), "bigram")
+    stripped = strip_possessive(pairs, "w2", normalize_apostrophes)
+    return unite(stripped, ["w1", "w2"], "bigram").select(*aslist(keys), "bigram")

@@ -270,3 +270,31 @@ def split_sample(df: DataFrame, id: str, fraction: float = 0.8, seed: str | int
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id).cast("string")))
     bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     return df.withColumn("in_sample", bucket < int(fraction * 2**32))
+
+
+def sample_exact(df: DataFrame, id: str, fraction: float = 0.8, seed: str | int = 0) -> DataFrame:
+    """Add ``in_sample``: true for exactly ``floor(rows * fraction)`` rows, those with the smallest hashes of their ids.
+
+    The hash that the sample ends at is found by counting: a histogram of its leading bits, then of the next ones within
+    the one open bin, so no row is sorted or moved.  Ids should be unique: rows that repeat an id share its hash, and a
+    sample that would end between them raises ValueError.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id).cast("string")))
+    rows = df.withColumn("__h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))  # 60 bits
+    wanted = int(df.count() * fraction + 1e-9)
+    low, bits, before = 0, 60, 0  # the sample ends in [low, low + 2^bits), with ``before`` rows below
+    while bits and before < wanted:
+        step = max(bits - 12, 0)
+        inside = rows.where((F.col("__h") >= low) & (F.col("__h") < low + (1 << bits)))
+        bins = inside.groupBy(F.expr(f"(__h - {low}L) div {1 << step}L").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        for row in sorted(bins.collect()):
+            low, upto = low - low % (1 << bits) + row["bin"] * (1 << step), before + row["n"]
+            if upto >= wanted:
+                break
+            before = upto
+        bits = step
+        if upto == wanted:
+            low, bits, before = low + (1 << step), 0, wanted
+    if before < wanted:
+        raise ValueError(f"the sample would end between rows of one {id}")
+    return rows.withColumn("in_sample", F.col("__h") < low).drop("__h")

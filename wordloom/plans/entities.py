@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from wordloom.operators.pairs import pairwise_cor
 from wordloom.operators.sentiment import pair_sentiment, sentiment_counts
 from wordloom.operators.tokens import split_ngram
-from wordloom.operators.verbs import count_by, keep_frequent, share, top_n, zero_fill_totals
+from wordloom.operators.verbs import count_by, share, top_n, zero_fill_totals
+from wordloom.session import checkpoint
 
 
 def entity_counts(tokens: DataFrame, entities: Sequence[str]) -> DataFrame:
@@ -45,8 +46,13 @@ def bigram_graph(bigrams: DataFrame, more_than: int = 50) -> DataFrame:
 
 
 def _frequent(tokens: DataFrame, min_n: int, excluded_volume: str | None) -> DataFrame:
-    """Rows of frequent words; frequency is counted before a volume is left out."""
-    kept = keep_frequent(tokens.select("volume", "chapter", "word"), "word", min_n)
+    """Chapters of frequent words, a row each; frequency is counted before a volume is left out.
+
+    The texts are tokenised once: words are counted by chapter, and the totals are those counts' sums.
+    """
+    counts = checkpoint(count_by(tokens, ["volume", "chapter", "word"]))
+    frequent = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_n).select("word")
+    kept = counts.join(frequent, "word", "left_semi")
     return kept if excluded_volume is None else kept.where(F.col("volume") != excluded_volume)
 
 
