@@ -41,6 +41,20 @@ def pinned(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written once in buckets of ``key``: joins on the key read it where it is, without a shuffle.
+
+    ``df`` should be dealt by ``repartition(partitions(spark), key)``, which makes one bucket a task.  The table is external:
+    its files are in the shared folder, the session's catalog only knows its name.
+    """
+    spark = df.sparkSession
+    name = f"wordloom_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/table-{name}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(partitions(spark), key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
