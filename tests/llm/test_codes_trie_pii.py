@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.llm.pii import KINDS, PATTERNS, personal_data, span_digests
 from wordloom.llm.prefix_trie import prefix_trie
@@ -219,6 +220,21 @@ def test_vector_codes(spark):
         vector_codes(table, parts=3)
 
 
+def test_codes_stand_in_part_order(spark):
+    from wordloom.llm.vector_codes import _codes, _first_entries, kept_vectors, part_blocks
+
+    table = spark.createDataFrame([(i, [float(i), 2.0 * i, 0.0, -1.0 * i], 0) for i in range(600)], "vec_id long, embedding array<double>, label int")
+    kept = kept_vectors(table, "vec_id", "embedding", "label")
+    blocks = part_blocks(kept, 4, 4, -256 * 599, 512 * 599)
+    books = _first_entries(kept, 4, 8)
+    found = {}
+    for turn in ("part", "-part", "(part + 2) % 4"):  # the order in which blocks arrive
+        rows = kept.join(_codes(blocks.repartition(1).sortWithinPartitions(F.expr(turn)), books, 1), "row").collect()
+        found[turn] = {r["vec_id"]: r["code"] for r in rows}
+    assert found["part"] == found["-part"] == found["(part + 2) % 4"]
+    assert found["-part"][5] == "05050005" and found["-part"][599] == "07070007"
+
+
 def test_short_lists_keep_every_nearest_entry():
     rng = np.random.default_rng(4)
     for _ in range(50):

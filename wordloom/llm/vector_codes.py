@@ -191,7 +191,7 @@ def _codes(blocks: DataFrame, books: list[np.ndarray], buckets: int) -> DataFram
                 list_ = np.flatnonzero(short_lists(low[r : r + 1], high[r : r + 1], books[part])[0])
                 code, error = nearest(numbers(3, r), books[part], list_)
                 rows.append(np.frombuffer(batch.column(2)[r].as_py(), np.int64))
-                codes.append(part << 32 | code)
+                codes.append(int(part) << 32 | code)  # 64 bits: the part itself has 32
                 errors.append(error)
             row, code, error = np.concatenate(rows), np.concatenate(codes), np.concatenate(errors)
             bucket = (mix(row.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
