@@ -240,6 +240,46 @@ def test_components_of_more_columns_than_a_square_matrix_allows(spark):
     np.testing.assert_allclose(np.abs(at), np.abs(u[:, :2] * s[:2]), atol=1e-4)
 
 
+@pytest.mark.parametrize("scale", [False, True])
+def test_a_basis_is_as_long_as_the_shorter_side(spark, monkeypatch, scale):
+    rng = np.random.default_rng(6)
+    x = (rng.random((24, 500)) < 0.1) * rng.integers(1, 9, (24, 500)).astype(float)
+    x[:, 0] = np.linspace(1, 90, 24)
+    x[:, 1:40] += np.linspace(-2, 3, 24)[:, None] ** 2
+    x[3] = 0
+    df, names = long(spark, x)
+    lengths, search = [], mx.block_lanczos
+    monkeypatch.setattr(mx, "block_lanczos", lambda times, length, *rest: lengths.append(length) or search(times, length, *rest))
+    rows = spark.createDataFrame([(n,) for n in names], "item string")
+    scores, loadings = mx.pca(df, "item", "col", "x", k=2, scale=scale, rows=rows)
+    assert lengths == [24]
+    z = x - x.mean(0)
+    if scale:
+        z = np.divide(z, x.std(0), out=np.zeros(x.shape), where=x.std(0) > 0)
+    u, s, vt = np.linalg.svd(z, full_matrices=False)
+    at = np.zeros((24, 2))
+    for r in scores.collect():
+        at[names.index(r["item"]), r["comp"] - 1] = r["score"]
+    found = {(r["col"], r["comp"]): r for r in loadings.collect()}
+    assert all(max((r for r in found.values() if r["comp"] == c), key=lambda r: abs(r["loading"]))["loading"] > 0 for c in (1, 2))
+    held = [j for j in range(500) if any((j, 1) == k or (str(j), 1) == k for k in found)]
+    back = np.array([[(found.get((j, c)) or found[str(j), c])["loading"] for j in held] for c in (1, 2)])
+    np.testing.assert_allclose(at, z[:, held] @ back.T, atol=1e-4)
+    np.testing.assert_allclose(np.abs(at), np.abs(u[:, :2] * s[:2]), atol=1e-4)
+    shares = {r["comp"]: r["explained"] for r in found.values()}
+    np.testing.assert_allclose([shares[1], shares[2]], s[:2] ** 2 / (s**2).sum(), rtol=1e-6)
+
+
+def test_rows_are_expanded_a_limited_number_of_cells_at_a_time():
+    import pandas as pd
+
+    sizes = [3, 0, 50, 4, 4, 4, 2, 0, 1]
+    frame = pd.DataFrame({"idx": [np.arange(n) for n in sizes], "val": [np.full(n, 1.0 + i) for i, n in enumerate(sizes)]})
+    parts = list(mx._stacked([frame, frame[:0]], 10))
+    assert [p[3].tolist() for p in parts] == [[3], [50], [4, 4], [4, 2, 1]]
+    assert np.concatenate([p[2] for p in parts]).sum() == sum(n * (1 + i) for i, n in enumerate(sizes))
+
+
 def test_ward_tree_of_a_tied_grid_and_of_one_row(spark):
     x = np.array([[float(i), float(j)] for i in range(1, 5) for j in range(1, 5)])
     df, _ = long(spark, x)
