@@ -280,6 +280,28 @@ def test_rows_are_expanded_a_limited_number_of_cells_at_a_time():
     assert np.concatenate([p[2] for p in parts]).sum() == sum(n * (1 + i) for i, n in enumerate(sizes))
 
 
+def test_rows_of_many_blocks_are_copied_less_often(spark):
+    rows = spark.range(3000).selectExpr("id AS item", "array(0, 1) AS idx", "array(id % 37 * 1.0D, id % 11 * 1.0D) AS val")
+    narrow, wide = mx.block_cells(rows, 4), mx.block_cells(rows, 4, 64)
+    assert narrow.count() == 3000 * 750 and wide.count() == 3000 * 47
+    assert mx.block_cells(rows, 4096, 4096).count() == 3000
+
+
+def test_tiles_of_a_cell_give_what_the_cell_gives(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 3)).round(1)  # with ties
+    df, names = long(spark, x)
+    vectors = mx.row_vectors(df, "item", "col", "x")
+    labels = spark.createDataFrame([(n, 1 + i % 3) for i, n in enumerate(names)], "item string, cluster int")
+    found = []
+    for block in (512, 3):  # one cell; 33 blocks of three tiles or so
+        sums = indices.item_cluster_distances(vectors, labels, block)
+        found.append({(r["item"], r["l"]): (r["n"], r["s"], r["s2"], r["low"], r["high"]) for r in sums.collect()})
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 900
+    for key, row in found[0].items():
+        assert found[1][key] == pytest.approx(row, abs=1e-6)
+
+
 def test_ward_tree_of_a_tied_grid_and_of_one_row(spark):
     x = np.array([[float(i), float(j)] for i in range(1, 5) for j in range(1, 5)])
     df, _ = long(spark, x)
