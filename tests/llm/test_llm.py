@@ -141,6 +141,40 @@ def test_encoder_and_shards():
         assert np.array_equal(read_shard(payload, 1, 3)[2], ids[128:384])
 
 
+def test_encoder_looks_each_word_up_once():
+    from wordloom.llm.encode import Encoder, tokenizer_path
+
+    class Known(dict):
+        asked = 0
+
+        def get(self, *key):
+            Known.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Known.asked += 1
+            return super().__getitem__(key)
+
+        def setdefault(self, *key):
+            Known.asked += 1
+            return super().setdefault(*key)
+
+    texts = ["one two… two", "three one ", "four four five six… four"]
+    for name, lead in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        coder = Encoder(tokenizer_path(name), lead)
+        coder.at, Known.asked = Known(), 0
+        for part in (texts, texts[::-1]):
+            assert all(np.array_equal(*x) for x in zip(coder.encode(part), coder.whole(part), strict=True))
+        assert Known.asked <= 2 * sum(len(t.split(" ")) for t in texts)
+        assert list(coder.at.values()) == list(range(len(coder.size)))
+        # A call that fails leaves no word without ids.
+        learn, coder._learn = coder._learn, lambda words: 1 / 0
+        with pytest.raises(ZeroDivisionError):
+            coder.encode(["seven one"])
+        coder._learn = learn
+        assert all(np.array_equal(*x) for x in zip(coder.encode(["seven one"]), coder.whole(["seven one"]), strict=True))
+
+
 def encoded(name, end):
     from tokenizers import Tokenizer
 

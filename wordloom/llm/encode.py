@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count
 
 import numpy as np
 
@@ -71,12 +71,11 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words: many words per call, told apart by how a word's ids begin or by a mark between words."""
-        if self.leading:
-            alone = [w for w in words if w.endswith(" ")]  # first words of texts: no space before them
-            joined = [w for w in words if not w.endswith(" ")]
-        else:
-            alone = [w for w in words if _MARK in w]
-            joined = [w for w in words if _MARK not in w]
+        # First words of texts have no space before them, and words with the mark can't be told apart by it.
+        single = np.array([w.endswith(" ") for w in words] if self.leading else [_MARK in w for w in words], bool)
+        order = np.argsort(single, kind="stable")
+        alone = [words[k] for k in np.flatnonzero(single)]
+        joined = [words[k] for k in np.flatnonzero(~single)] if alone else words
         glue = " " if self.leading else f" {_MARK} "
         parts = [(" " if self.leading else "") + glue.join(joined[k : k + 500]) + ("" if self.leading else glue) for k in range(0, len(joined), 500)]
         ids = np.concatenate([np.zeros(0, np.uint32), *self.whole(parts)])
@@ -91,10 +90,10 @@ class Encoder:
         rest = self.whole([w[:-1] if self.leading else w for w in alone])
         ids = np.concatenate([ids, *rest])
         size = np.concatenate([size, np.array([len(r) for r in rest], np.int64)]).astype(np.int64)
-        base = len(self.start)
-        self.at.update(zip(joined + alone, range(base, base + len(words)), strict=True))
-        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        start = self.used + np.cumsum(size) - size
+        back = np.argsort(order)
+        self.start = np.concatenate([self.start, start[back]])
+        self.size = np.concatenate([self.size, size[back]])
         if self.used + len(ids) > len(self.store):
             self.store = np.concatenate([self.store, np.zeros(max(len(ids), len(self.store)), np.uint32)])
         self.store[self.used : self.used + len(ids)] = ids
@@ -117,11 +116,21 @@ class Encoder:
             ends.append(len(words))
         if len(self.at) > self.limit:
             self._forget()
-        where = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(where < 0)
-        if len(missing):
-            self._learn(list(dict.fromkeys(words[k] for k in missing)))
-            where[missing] = [self.at[words[k]] for k in missing]
+        base = len(self.start)
+        try:  # a new word is first known by its place among the words, then by its index
+            where = np.fromiter(map(self.at.setdefault, words, count(base)), np.int64, len(words))
+            new = np.flatnonzero(where == base + np.arange(len(words)))
+            if len(new):
+                fresh = [words[k] for k in new]
+                index = np.zeros(len(words), np.int64)
+                index[new] = np.arange(base, base + len(new))
+                late = np.flatnonzero(where >= base)
+                where[late] = index[where[late] - base]
+                self.at.update(zip(fresh, range(base, base + len(new)), strict=True))
+                self._learn(fresh)
+        except BaseException:
+            self._reset()
+            raise
         self.hits = np.bincount(where, minlength=len(self.start)) + np.pad(self.hits, (0, len(self.start) - len(self.hits)))
         size = self.size[where]
         off = np.concatenate([[0], np.cumsum(size)])
