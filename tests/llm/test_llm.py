@@ -365,6 +365,26 @@ def test_passages(docs, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_passages_of_a_text_that_repeats_itself(spark):
+    """A phrase said over and over is one stretch, not one for each time that it comes round."""
+    from wordloom.llm.passages import repeated_passages, without_repeats
+
+    r = random.Random(12)
+    text = lambda n: [f"{r.choice(VOCABULARY)}{r.randrange(10**6)}" for _ in range(n)]
+    for phrase in (["is", "onhe."], ["a", "b", "c", "d", "e", "f", "g"]):
+        rows = [(k, [*text(30), *(phrase * 300)[k : k + n], *text(30)]) for k, n in ((0, 400), (1, 400), (2, 300), (3, 500))]
+        frame = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+        spans = repeated_passages(frame)
+        found = spans.collect()
+        assert sorted((s.doc_id, s.start_word, s.end_word) for s in found) == [(1, 30, 430), (2, 30, 330), (3, 30, 530)]
+        words = dict(rows)
+        for s in found:
+            own, other = (" ".join(words[i][a:b]) for i, a, b in ((s.doc_id, s.start_word, s.end_word), (s.source_doc_id, s.source_start, s.source_end)))
+            assert s.similarity == 1.0 and set(shingles(own)) == set(shingles(other))
+        left = {d.doc_id: d.text for d in without_repeats(frame, spans).collect()}
+        assert all(left[k].split() == t[:30] + t[-30:] for k, t in rows[1:]) and left[0].split() == words[0]
+
+
 def test_passages_after_a_partial_copy(spark):
     """A run of 50 words is found though an even earlier document holds only its first 45 words."""
     from wordloom.llm.passages import repeated_passages
