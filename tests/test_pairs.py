@@ -105,3 +105,34 @@ def test_correlations_over_a_limit(spark, monkeypatch, above, cell):
 def test_blocks_out_of_reach():
     assert pairs.reachable_blocks([900, 40, 30, 2], [1000, 60, 39, 8], 2000, 0.5) == [0, 2, 3, 3]
     assert pairs.reachable_blocks([10], [10], 10, 0.5) == [0]
+
+
+def test_counts_are_known_in_their_cells(spark, capsys):
+    """Up to ``CHUNK`` features nothing is added up after the cells; null groups are counted as well."""
+    rows = [(None if f % 3 else f % 2, f, w) for f, w in rows_of(5)]
+    df = spark.createDataFrame(rows, "g int, f int, w string")
+    out = pairwise_count(df, "w", "f", by=["g"], block=4)
+    got = {(r["g"], r["item1"], r["item2"]): r["n"] for r in out.collect()}
+    want = {(g, *p): n for g in (None, 0, 1) for p, n in brute([r[1:] for r in rows if r[0] == g])[1].items()}
+    assert got == want
+    capsys.readouterr()
+    out.explain()
+    above = capsys.readouterr().out.split("FlatMapGroupsInArrow")[0]
+    assert "Aggregate" not in above
+
+
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_cells_counted_as_matrices_and_pair_by_pair(monkeypatch, dense):
+    monkeypatch.setattr(pairs, "DENSE", dense)
+    rng = np.random.default_rng(6)
+    held = rng.random((1300, 20)) < 0.2
+    held[7] = True
+    feature, item = np.nonzero(held)
+    order = rng.permutation(len(item))
+    feature, item = feature[order] * 2**40 - 5, item[order]
+    first = item < 10
+    exact = held.astype(int)
+    across = pairs._cell_counts(feature, item % 10, first, ~first, 10)
+    assert np.array_equal(across, exact[:, :10].T @ exact[:, 10:])
+    inside = pairs._cell_counts(feature[first], item[first], *[np.ones(first.sum(), bool)] * 2, 10)
+    assert np.array_equal(inside, exact[:, :10].T @ exact[:, :10])
