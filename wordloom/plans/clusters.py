@@ -11,7 +11,7 @@ from wordloom.operators.pairs import pairwise_count
 from wordloom.operators.sentiment import comparison_scores
 from wordloom.operators.stats import boxplot_stats
 from wordloom.operators.tfidf import bind_tf_idf, exact_sum
-from wordloom.operators.verbs import count_by, renamed_join, share, spread, top_n
+from wordloom.operators.verbs import count_by, renamed_join, share, spread, tally, top_n
 
 
 def entity_profiles(tokens: DataFrame, items: Sequence[str], more_than: int = 10) -> DataFrame:
@@ -68,7 +68,7 @@ def cluster_volume_pivot(labels: DataFrame, sections: DataFrame, clusters: Seque
 
 
 def _cluster_counts(tokens: DataFrame, labels: DataFrame) -> DataFrame:
-    words = count_by(tokens, ["chapter", "word"])
+    words = tally(tokens, ["chapter", "word"])
     joined = renamed_join(words, labels, {"chapter": "document"})
     return joined.groupBy("cluster", "word").agg(F.sum("n").alias("n"))
 
