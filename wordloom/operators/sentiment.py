@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from wordloom.operators.pairs import pairwise_count
 from wordloom.operators.tfidf import exact_sum
 from wordloom.operators.tokens import attach_lexicon
-from wordloom.operators.verbs import aslist, attach_totals, top_n
+from wordloom.operators.verbs import aslist, attach_totals, tally, top_n
 
 
 def sentiment_counts(tokens: DataFrame, lex: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -17,11 +17,11 @@ def sentiment_counts(tokens: DataFrame, lex: DataFrame, keys: Sequence[str] = ()
 
     Tokens are counted per word before the many-to-many join, so the join sees
     one row per key and word.  ``tokens`` may be counted already: a column ``n``
-    says how many tokens a row stands for.
+    says how many tokens a row stands for.  Such rows go to the join as they are
+    when there are keys, since counting them again would move them all once more.
     """
     keys = aslist(keys)
-    grouped = tokens.groupBy(*keys, "word")
-    counted = grouped.agg((F.sum("n") if "n" in tokens.columns else F.count(F.lit(1))).alias("n"))
+    counted = tokens.select(*keys, "word", "n") if keys and "n" in tokens.columns else tally(tokens, [*keys, "word"])
     matched = attach_lexicon(counted, lex)
     return matched.groupBy(*keys, "sentiment").agg(F.sum("n").alias("n"))
 
@@ -29,7 +29,15 @@ def sentiment_counts(tokens: DataFrame, lex: DataFrame, keys: Sequence[str] = ()
 def pair_sentiment(
     tokens: DataFrame, lex: DataFrame, item: str, feature: str, by: Sequence[str] = (), items: Sequence | None = None
 ) -> DataFrame:
-    """Pair counts with the sentiments of the second item."""
+    """Pair counts with the sentiments of the second item.
+
+    With ``items``, only rows of these and of the lexicon's words can give a row, so no others are paired.
+    """
+    if items is not None:
+        felt = lex.select(F.col("word").alias(item)).distinct().withColumn("__felt", F.lit(True))
+        # the join leaves the rows in place by item, so telling presence rows apart moves nothing
+        marked = tokens.select(*dict.fromkeys([*by, feature, item])).join(felt, item, "left")
+        tokens = marked.where(F.col("__felt").isNotNull() | F.col(item).isin(*items)).drop("__felt")
     return attach_lexicon(pairwise_count(tokens, item, feature, by=by, items=items), lex, on="item2")
 
 
