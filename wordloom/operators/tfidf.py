@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wordloom.operators.verbs import attach_totals
+from wordloom.operators.verbs import join_on_keys
+from wordloom.session import checkpoint
 
 
 def bind_tf_idf(df: DataFrame, term: str, document: str, n: str) -> DataFrame:
@@ -12,10 +13,16 @@ def bind_tf_idf(df: DataFrame, term: str, document: str, n: str) -> DataFrame:
 
     ``idf = ln(documents / rows of the term)``: the denominator counts rows, so
     a term with several rows per document can get a negative idf.
+
+    The counts and both tables of totals are stored: whatever made the counts runs
+    once, and a join knows the size of its totals before it moves the counts.
     """
+    df = checkpoint(df)
     documents = df.agg(F.count_distinct(document)).scalar()
-    weighted = attach_totals(df, [document], __total=F.sum(n))
-    weighted = attach_totals(weighted, [term], __rows=F.count(F.lit(1)))
+    totals = checkpoint(df.groupBy(document).agg(F.sum(n).alias("__total")))
+    rows = checkpoint(df.groupBy(term).agg(F.count(F.lit(1)).alias("__rows")))
+    weighted = join_on_keys(df, totals, [document], "left", null_safe=True)
+    weighted = join_on_keys(weighted, rows, [term], "left", null_safe=True)
     return (
         weighted.withColumn("tf", F.try_divide(F.col(n), F.col("__total")))
         .withColumn("idf", F.ln(documents / F.col("__rows")))
