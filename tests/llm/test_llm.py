@@ -175,6 +175,19 @@ def test_encoder_looks_each_word_up_once():
         assert all(np.array_equal(*x) for x in zip(coder.encode(["seven one"]), coder.whole(["seven one"]), strict=True))
 
 
+def test_encoder_sends_new_words_in_short_strings():
+    from wordloom.llm.encode import Encoder, tokenizer_path
+
+    texts = [" ".join(f"w{k}x{j}" for j in range(700)) for k in range(3)]
+    for name, lead in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        coder, sent = Encoder(tokenizer_path(name), lead), []
+        whole = coder.whole
+        coder.whole = lambda parts, sent=sent, whole=whole: sent.extend(parts) or whole(parts)
+        got = coder.encode(texts)
+        assert len(sent) > 3 and max(len(p.split()) for p in sent) <= 202  # words and marks
+        assert all(np.array_equal(*x) for x in zip(got, whole(texts), strict=True))
+
+
 def encoded(name, end):
     from tokenizers import Tokenizer
 

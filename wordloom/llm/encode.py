@@ -16,6 +16,7 @@ import numpy as np
 
 _UNSAFE = re.compile(r" (?:\s|$)")
 _MARK = "…"
+_TOGETHER = 100  # new words in one string: the library's time a word grows with its length
 _known: dict[tuple, Encoder] = {}
 
 
@@ -77,7 +78,7 @@ class Encoder:
         alone = [words[k] for k in np.flatnonzero(single)]
         joined = [words[k] for k in np.flatnonzero(~single)] if alone else words
         glue = " " if self.leading else f" {_MARK} "
-        parts = [(" " if self.leading else "") + glue.join(joined[k : k + 500]) + ("" if self.leading else glue) for k in range(0, len(joined), 500)]
+        parts = [(" " if self.leading else "") + glue.join(joined[k : k + _TOGETHER]) + ("" if self.leading else glue) for k in range(0, len(joined), _TOGETHER)]
         ids = np.concatenate([np.zeros(0, np.uint32), *self.whole(parts)])
         if self.leading:
             cut = np.append(np.flatnonzero(self.opens[ids]), len(ids))
