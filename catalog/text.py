@@ -238,8 +238,9 @@ def tokenize_ngrams(spark, d):
 
 @query("ngram_split", with_bigrams(" SELECT w1, w2, count(*) AS n FROM raw_bigram GROUP BY ALL"))
 def ngram_split(spark, d):
-    grams = tk.tokenize_ngrams(sections(spark, d), "text", 2)
-    return verbs.count_by(tk.split_ngram(grams, "bigram", ["w1", "w2"]), ["w1", "w2"])
+    grams = tk.tokenize_ngrams(sections(spark, d), "text", 2, keep=[])
+    counts = verbs.count_by(grams, ["bigram"])  # no word holds a space, so a bigram stands for its two words
+    return tk.split_ngram(counts, "bigram", ["w1", "w2"])
 
 
 @query("ngram_unite", with_bigrams(" SELECT w2 || '+' || w1 AS swapped, count(*) AS n FROM split_bigram GROUP BY ALL"))

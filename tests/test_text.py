@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import number_from_word, percent_label, spell_number, words_of
+from wordloom.functions.text import ngrams_of, number_from_word, percent_label, spell_number, words_of
 from wordloom.operators import structure, tokens as tk
 from wordloom.sources import text as src
 
@@ -70,6 +70,26 @@ def test_number_words(spark):
     assert [r[0] for r in rows.select(number_from_word("w")).collect()] == [1, 17, None, None]
 
 
+def test_bigrams_are_made_without_slices_and_split_once_counted(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "a b a b"), (2, "a b"), (3, "b"), (4, None), (5, ""), (6, "A  b, a"), (1, "a b a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["ngram_split"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "b", 6), ("b", "a", 3)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and plan.startswith("Aggregate [bigram")
+
+
+def test_ngrams_of_any_length(spark):
+    lists = [["a", "b", "c"], ["a", "b"], ["a"], [], None, ["a", None, "c"]]
+    df = spark.createDataFrame([(x,) for x in lists], "w array<string>")
+    for n in (1, 2, 3, 4):
+        want = [[" ".join(w for w in x[k : k + n] if w is not None) for k in range(len(x) - n + 1)] for x in (x or [] for x in lists)]
+        assert [r[0] for r in df.select(ngrams_of(F.col("w"), n)).collect()] == want
+
+
 def test_percent_labels(spark):
     rows = spark.createDataFrame([(2.5, 12.25), (3.5, 7.0), (100.0, 99.95)], "a double, b double")
     got = rows.select(percent_label("a", 0), percent_label("b", 1)).collect()
